@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashed words, pairs of neighbours, and pairs with one or two
-words between them. Each coordinate has its own learning rate, and the L1 term leaves most weights
+Features of a text are the distinct hashed words, their stems (the first 4, 6 and 8 bytes of longer
+words, so that inflected forms share a weight), pairs of neighbours, and pairs with one or two words
+between them. Each coordinate has its own learning rate, and the L1 term leaves most weights
 at zero, so the model that goes to the executors is a short list of slots and weights.
 
 Fitting uses at most ``per_class`` rows of each label (by hash of the id, their first ``max_chars``
@@ -31,6 +32,8 @@ SLOTS = 1 << BITS
 NO_WORD = np.ones(256, bool)
 NO_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
+STEMS = (4, 6, 8)
+
 
 def gram_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, rows) of the words, neighbour pairs and skip-grams of one slice."""
@@ -38,6 +41,10 @@ def gram_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     s, e, row = spans(data, offs, NO_WORD)
     words = span_hashes(data, s, e)
     slots, rows = [words], [row]
+    for size in STEMS:
+        long = e - s > size
+        slots.append(mix(span_hashes(data, s[long], s[long] + size) + U(size)))
+        rows.append(row[long])
     for gap in (1, 2, 3):
         if len(words) > gap:
             same = row[gap:] == row[:-gap]
@@ -61,7 +68,7 @@ class SparseModel:
 class Ftrl:
     """FTRL-proximal: z and n hold the state of every coordinate; slot SLOTS is the intercept, without L1."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0) -> None:
+    def __init__(self, alpha: float = 0.5, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
 
@@ -79,7 +86,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(rows: list[tuple[str, int]], share: float, epochs: int = 3) -> SparseModel:
+def fit(rows: list[tuple[str, int]], share: float, epochs: int = 4) -> SparseModel:
     """share: of label 1 among all labelled rows; the rows may hold another mixture."""
     empty = np.zeros(0, np.int64)
     ones = sum(y for _, y in rows)
