@@ -5,15 +5,238 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtext.functions.text import char_grams, content_key, fold, rounded, terms, word_grams, words
+from loomtext.operators import adversarial, corpus, evaluation, pairwise, retrieval, segments
+from loomtext.plans.oracles import ORACLES
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def _items(spark, sf):
+    return table(spark, sf, "benchmark")
+
+
+def token_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.size(terms(F.col("text"))).cast("long").alias("n_terms"))
+
+
+def normalized_hash_groups(spark, sf):
+    return _docs(spark, sf).select("doc_id", content_key(F.col("text")).alias("content_key")).groupBy("content_key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+def content_dedupe(spark, sf):
+    return corpus.dedupe(_docs(spark, sf), "source", "doc_id")
+
+
+def segment_spans(spark, sf):
+    return segments.segments(_docs(spark, sf), ["doc_id"]).select("doc_id", "start", "end", "n_tokens")
+
+
+def chunk_spans(spark, sf):
+    return segments.chunks(_docs(spark, sf))
+
+
+def segment_windows(spark, sf):
+    return segments.token_windows(_items(spark, sf), ["item_id"], "text", 16, 8)
+
+
+def _digest(spark, sf, grams):
+    return _docs(spark, sf).select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_total"), F.sum(F.col("c") * F.col("c")).alias("sum_squares"))
+
+
+def word_features(spark, sf):
+    return _digest(spark, sf, word_grams(words(F.col("text"))))
+
+
+def char_features(spark, sf):
+    return _digest(spark, sf, char_grams(F.col("text")))
+
+
+def document_frequency(spark, sf):
+    return retrieval.document_frequency(_docs(spark, sf))
+
+
+def corpus_stats(spark, sf):
+    return retrieval.corpus_stats(_docs(spark, sf)).select("n", rounded(F.col("avg_len")).alias("avg_len"))
+
+
+def bm25_topk(spark, sf):
+    return retrieval.bm25(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", 10)
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("passage"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def dense_topk(spark, sf):
+    v = _vectors(spark, sf)
+    q = v.where("passage % 50 = 0").select(F.col("passage").alias("query"), F.col("v").alias("q"))
+    return retrieval.dense_topk(q, v, 5)
+
+
+def _pairs(spark, sf):
+    """Each benchmark item with its three best documents."""
+    found = retrieval.bm25(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", 3)
+    sources = _items(spark, sf).select(F.col("item_id").alias("query"), F.col("text").alias("source"))
+    candidates = _docs(spark, sf).select(F.col("doc_id").alias("passage"), F.col("text").alias("candidate"))
+    return found.join(sources, "query").join(candidates, "passage").select(F.concat_ws("-", F.col("query").cast("string"), F.col("passage").cast("string")).alias("pair_id"), "source", "candidate")
+
+
+def pair_similarities(spark, sf):
+    found = pairwise.similarities(_pairs(spark, sf))
+    return found.select("pair_id", *[rounded(F.col(c)).alias(c) for c in ("lexical", "chars", "containment")])
+
+
+def retrieve_then_analyze(spark, sf):
+    return pairwise.analyze(_pairs(spark, sf))
+
+
+def evidence_spans(spark, sf):
+    found = pairwise.evidence(pairwise.best_matches(pairwise.valid(_pairs(spark, sf))))
+    e = found.select("pair_id", F.posexplode("evidence").alias("n", "e"))
+    return e.select("pair_id", F.col("n").cast("long").alias("n"), "e.c_start", "e.c_end", "e.s_start", "e.s_end", F.col("e.kind").alias("kind"), (-F.col("e.order")).alias("similarity"))
+
+
+def rrf_hybrid(spark, sf):
+    """BM25 fused with a ranking by the share of the query's distinct terms that a passage holds."""
+    lexical = retrieval.bm25(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", 50)
+    scored = lexical.select("query", "passage")
+    q = _items(spark, sf).select(F.col("item_id").alias("query"), F.array_distinct(terms(F.col("text"))).alias("q"))
+    d = _docs(spark, sf).select(F.col("doc_id").alias("passage"), F.array_distinct(terms(F.col("text"))).alias("d"))
+    w = F.row_number().over(retrieval.Window.partitionBy("query").orderBy(F.desc("s"), "passage")).cast("long")
+    second = scored.join(q, "query").join(d, "passage").select("query", "passage", rounded(F.size(F.array_intersect("q", "d")) / F.size("q")).alias("s")).withColumn("rank", w)
+    return retrieval.fuse(lexical, second, 10).select("query", "passage", "lexical_rank", "dense_rank", "score", "rank")
+
+
+def hashed_embeddings(spark, sf):
+    return _items(spark, sf).select("item_id", retrieval.hashing_embedder()(F.col("text")).alias("embedding"))
+
+
+def _scored(spark, sf):
+    """pair_id, group, category, label, score: labelled documents scored by their share of distinct terms."""
+    t = terms(F.col("text"))
+    score = F.when(F.size(t) > 0, rounded(F.size(F.array_distinct(t)) / F.size(t), 4)).otherwise(0.0)
+    return _docs(spark, sf).select("doc_id", F.col("source").alias("group"), F.col("lang").alias("category"), score.alias("score")).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("label")), "doc_id").withColumnRenamed("doc_id", "pair_id")
+
+
+def group_split(spark, sf):
+    return evaluation.group_split(_scored(spark, sf), "group").groupBy("partition").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("groups"))
+
+
+def split_leakage(spark, sf):
+    return evaluation.leakage(evaluation.group_split(_scored(spark, sf), "group"), "group")
+
+
+def threshold_metrics(spark, sf):
+    return evaluation.confusion_at(_scored(spark, sf), 0.5)
+
+
+def metrics_by_category(spark, sf):
+    return evaluation.confusion_at(_scored(spark, sf), 0.5, ["category"])
+
+
+def thresholds_distinct(spark, sf):
+    return evaluation.by_threshold(_scored(spark, sf))
+
+
+def choose_threshold_distinct(spark, sf):
+    return evaluation.choose_threshold(_scored(spark, sf))
+
+
+def choose_threshold_grid(spark, sf):
+    return evaluation.choose_threshold_grid(_scored(spark, sf))
+
+
+def average_precision(spark, sf):
+    return evaluation.average_precision(_scored(spark, sf))
+
+
+def score_summary(spark, sf):
+    return evaluation.score_summary(_scored(spark, sf))
+
+
+def dataset_fingerprint(spark, sf):
+    return evaluation.fingerprint(_docs(spark, sf), ["doc_id", "source", "text"])
+
+
+def _intervals(spark, sf):
+    return table(spark, sf, "events").select("user_id", F.unix_seconds("ts").alias("start"), (F.unix_seconds("ts") + F.floor("value").cast("long") % 7200).alias("end"), "event_type")
+
+
+def interval_merge(spark, sf):
+    return evaluation.merge_intervals(_intervals(spark, sf).drop("event_type"), ["user_id"])
+
+
+def interval_intersection(spark, sf):
+    i = _intervals(spark, sf)
+    side = lambda k: i.where(F.col("event_type") == k).drop("event_type")
+    return evaluation.intersection_length(side("click"), side("view"), ["user_id"])
+
+
+def adversarial_suite(spark, sf):
+    return adversarial.suite(_items(spark, sf), "item_id")
+
+
+def tenant_documents(spark, sf):
+    d = _docs(spark, sf)
+    w = d.agg(F.min("source")).first()[0]
+    return corpus.Tenant(w, "source").of(d).select("doc_id", "source", F.sha2("text", 256).alias("sha"))
+
+
+def upsert_documents(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "n_chars", F.lit("stored").alias("status"))
+    return corpus.upsert(d, d.where("doc_id % 7 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit("changed").alias("status")), ["doc_id"])
+
+
+def referential_violations(spark, sf):
+    return corpus.violations(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).where("o_custkey % 10 <> 0"), ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+def job_latest_status(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    return corpus.latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+def counters_prometheus(spark, sf):
+    return corpus.counters(table(spark, sf, "events"), "events_total", "event_type")
+
+
+def rate_limiter(spark, sf):
+    e = table(spark, sf, "events").withColumn("t", F.unix_micros("ts") / 1e6)
+    return corpus.rate_limit(e, "user_id", "t", "event_id", 2, 86400.0)
+
+
+def label_distribution(spark, sf):
+    return table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+def text_length_summary(spark, sf):
+    n = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
+    return _docs(spark, sf).groupBy("lang").agg(F.count("*").alias("n"), F.min(n).cast("long").alias("min_words"), F.max(n).cast("long").alias("max_words"), F.sum(n).alias("sum_words"))
+
+
+def folded_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded_sha"))
+
+
+QUERIES = [retrieve_then_analyze, bm25_topk, token_counts, normalized_hash_groups, content_dedupe, segment_spans, chunk_spans, segment_windows, word_features, char_features, document_frequency, corpus_stats, dense_topk, pair_similarities, evidence_spans, rrf_hybrid, hashed_embeddings, group_split, split_leakage, threshold_metrics, metrics_by_category, thresholds_distinct, choose_threshold_distinct, choose_threshold_grid, average_precision, score_summary, dataset_fingerprint, interval_merge, interval_intersection, adversarial_suite, tenant_documents, upsert_documents, referential_violations, job_latest_status, counters_prometheus, rate_limiter, label_distribution, text_length_summary, folded_text]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieve_then_analyze(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
