@@ -18,10 +18,14 @@ def fold(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("ß"), F.lit("ss")))
 
 
-@F.pandas_udf("string")
-def fold_unicode(text: pd.Series) -> pd.Series:
+def fold_unicode(text: Column) -> Column:
     """Full compatibility composition and case folding, for any script; Spark has neither built in."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return run(text)
 
 
 def normal(text: Column) -> Column:
@@ -41,20 +45,35 @@ def content_key(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(fold(text), r"(?U)\W+", " ")), 256)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once; a column that a lambda mentions is computed anew for every element."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def word_grams(tokens: Column) -> Column:
     """Single words and pairs of neighbours."""
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
-    return F.concat(F.transform(tokens, lambda t: F.concat(F.lit("w:"), t)), pairs)
+
+    def of(t: Column) -> Column:
+        rest = F.greatest(F.size(t) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
+        return F.concat(F.transform(t, lambda w: F.concat(F.lit("w:"), w)), pairs)
+
+    return bound(tokens, of)
 
 
 def char_grams(text: Column) -> Column:
-    """Runs of three to five characters, signs as blanks; edge blanks count."""
+    """Runs of three to five characters, signs as blanks; edge blanks count. Characters are split once: substring counts from the start each time."""
     flat = F.regexp_replace(normal(text), r"(?U)[^\w]+", " ")
 
-    def of(n: int) -> Column:
-        return F.when(F.length(flat) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1))), lambda i: F.substring(flat, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(chars: Column) -> Column:
+        def runs(n: int) -> Column:
+            last = F.size(chars) - n
+            made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+            return F.when(last >= 0, made).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(runs(3), runs(4), runs(5))
 
-    return F.concat(of(3), of(4), of(5))
+    return bound(F.split(flat, ""), of)
 
 
 def rounded(x: Column, digits: int = 6) -> Column:

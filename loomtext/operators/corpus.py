@@ -79,4 +79,4 @@ def rate_limit(events: DataFrame, identity: str, at: str, order: str, requests:
                 out.append(ok)
             yield pd.DataFrame({"n": b["n"], "who": b["who"], "allowed": out})
 
-    return rows.repartition("who").sortWithinPartitions("who", "t", "n").mapInPandas(run, "n long, who long, allowed boolean")
+    return rows.repartition("who").sortWithinPartitions("who", "t", "n").mapInPandas(run, "n long, who long, allowed boolean").toDF(order, identity, "allowed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import char_grams, rounded, word_grams, words
 from loomtext.operators.segments import segments, token_windows
+from loomtext.session import cut
 
 EVIDENCE, NEAR, LOW, HIGH = 0.30, 0.72, 0.36, 0.64
 
@@ -55,14 +56,14 @@ def bounded_segments(pairs: DataFrame, col: str, max_tokens: int = 80) -> DataFr
     found = segments(pairs.select("pair_id", F.col(col).alias("text")), ["pair_id"])
     short = found.where(F.col("n_tokens") <= max_tokens).select("pair_id", "start", "end", "segment")
     long = found.where(F.col("n_tokens") > max_tokens).select("pair_id", F.col("start").alias("base"), "segment")
-    cut = token_windows(long, ["pair_id", "base", "segment"], "segment", max_tokens, max(1, max_tokens // 2))
-    return short.unionByName(cut.select("pair_id", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), F.expr("substring(segment, int(start) + 1, int(end - start))").alias("segment")))
+    parts = token_windows(long, ["pair_id", "base", "segment"], "segment", max_tokens, max(1, max_tokens // 2))
+    return short.unionByName(parts.select("pair_id", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), F.expr("substring(segment, int(start) + 1, int(end - start))").alias("segment")))
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
     """For each candidate segment its best source segment from the evidence threshold on; the earliest wins ties."""
     side = lambda col, p: bounded_segments(pairs, col).select("pair_id", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("segment").alias(f"{p}_text"))
-    s, c = side("source", "s"), side("candidate", "c")
+    s, c = cut(side("source", "s")), cut(side("candidate", "c"))  # each is read five times
     sk, ck = ["s_start", "s_end"], ["c_start", "c_end"]
     grams = lambda t, keys, col, g: counts(t, ["pair_id", *keys], g(F.col(col)))
     lexical = lambda x: word_grams(words(x))
@@ -89,8 +90,8 @@ def evidence(matches: DataFrame, limit: int = 8) -> DataFrame:
 
 def analyze(pairs: DataFrame) -> DataFrame:
     """pair_id, score, verdict, lexical, chars, coverage, best, n_evidence of every valid pair."""
-    pairs = valid(pairs)
-    proof = evidence(best_matches(pairs))
+    pairs = cut(valid(pairs))
+    proof = cut(evidence(best_matches(pairs)))
     rows = pairs.join(similarities(pairs), "pair_id").join(proof, "pair_id", "left")
     own = F.array_distinct(long_words(F.col("candidate")))
     hit = F.array_distinct(F.flatten(F.transform("evidence", lambda e: long_words(e["c_text"]))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import char_grams, content_key, fold, rounded, terms, word_grams, words
 from loomtext.operators import adversarial, corpus, evaluation, pairwise, retrieval, segments
 from loomtext.plans.oracles import ORACLES
+from loomtext.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +92,7 @@ def _pairs(spark, sf):
 
 
 def pair_similarities(spark, sf):
-    found = pairwise.similarities(_pairs(spark, sf))
+    found = pairwise.similarities(cut(_pairs(spark, sf)))
     return found.select("pair_id", *[rounded(F.col(c)).alias(c) for c in ("lexical", "chars", "containment")])
 
 
@@ -100,7 +101,7 @@ def retrieve_then_analyze(spark, sf):
 
 
 def evidence_spans(spark, sf):
-    found = pairwise.evidence(pairwise.best_matches(pairwise.valid(_pairs(spark, sf))))
+    found = pairwise.evidence(pairwise.best_matches(cut(pairwise.valid(_pairs(spark, sf)))))
     e = found.select("pair_id", F.posexplode("evidence").alias("n", "e"))
     return e.select("pair_id", F.col("n").cast("long").alias("n"), "e.c_start", "e.c_end", "e.s_start", "e.s_end", F.col("e.kind").alias("kind"), (-F.col("e.order")).alias("similarity"))
 
@@ -168,7 +169,8 @@ def dataset_fingerprint(spark, sf):
 
 
 def _intervals(spark, sf):
-    return table(spark, sf, "events").select("user_id", F.unix_seconds("ts").alias("start"), (F.unix_seconds("ts") + F.floor("value").cast("long") % 7200).alias("end"), "event_type")
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return table(spark, sf, "events").select("user_id", seconds.alias("start"), (seconds + F.floor("value").cast("long") % 7200).alias("end"), "event_type")
 
 
 def interval_merge(spark, sf):
@@ -210,7 +212,7 @@ def counters_prometheus(spark, sf):
 
 
 def rate_limiter(spark, sf):
-    e = table(spark, sf, "events").withColumn("t", F.unix_micros("ts") / 1e6)
+    e = table(spark, sf, "events").withColumn("t", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6)
     return corpus.rate_limit(e, "user_id", "t", "event_id", 2, 86400.0)
 
 
