@@ -110,7 +110,7 @@ def shingles(words: np.ndarray, row: np.ndarray, n_rows: int, n: int) -> tuple[n
         return np.zeros(0, U), offs
     total = len(words)
     acc = np.zeros(total, U)
-    for k in range(n):
+    for k in range(min(n, total)):
         acc[: total - k] += mix(words[k:] + U(k + 1)) * U(2 * k + 3)
     acc = mix(acc + U(n))
     keep = np.zeros(total, bool)
