@@ -39,8 +39,10 @@ BROADCAST_ROWS = 100_000
 
 def _matches(text: Column, pattern: str | Column, ask: Column | None = None) -> Column:
     """array of (start, end, value) of the leftmost matches in turn; ask: a cheap test that they need."""
-    whole = F.concat(F.lit("(?s)(.*?)("), pattern, F.lit(")")) if isinstance(pattern, Column) else F.lit(f"(?s)(.*?)({pattern})")
+    # what follows the last match is one more piece, up to the end: else every character of it would be tried as a start
+    whole = F.concat(F.lit("(?s)(.*?)(?:("), pattern, F.lit(r")|\z)")) if isinstance(pattern, Column) else F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     pieces = F.zip_with(F.regexp_extract_all(text, whole, 1), F.regexp_extract_all(text, whole, 2), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("value")))
+    pieces = F.filter(pieces, lambda x: x["size"] > 0)
     empty = F.array().cast(f"array<{SPAN}>")
 
     def step(acc, x):
