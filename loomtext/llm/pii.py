@@ -33,8 +33,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPAN = "struct<start:int,end:int,value:string>"
-#: Rows up to which a table of terms or of flagged documents is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Flagged documents up to which their spans are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 10_000
 
 
 def _matches(text: Column, pattern: str | Column, ask: Column | None = None) -> Column:
@@ -107,13 +107,10 @@ def added_spans(docs: DataFrame, marked: DataFrame, support: int, reach: int, ge
     pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= support)
     entities = marked.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
     pairs = cut(pairs.join(entities, "entity"))
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= 4)
-    if n_terms <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
+    # counted before they meet the pairs: map-side sums leave one row for a word and task, however common the word is
     counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    total = docs.count() if n_terms else 0
+    total = docs.count()
     information = F.log(F.lit(float(total)) / F.col("c_e"))
     disclosure = F.when(information > 0, F.log(F.col("c_te") * F.lit(float(total)) / (F.col("c_t") * F.col("c_e"))) / information).otherwise(0.0)
     flagged = pairs.join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
@@ -149,7 +146,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     _, added = _analysed(docs, id_col, text_col, support, reach, generalise_at, remove_at)
     added = cut(added)
     side = added.select(F.col("doc_id").alias("__a_id"), F.col("key").alias("__a_key"), F.col("added").alias("__added"))
-    if added.count() <= BROADCAST_ROWS // 10:
+    if added.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     names = docs.columns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
