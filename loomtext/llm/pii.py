@@ -5,10 +5,13 @@
 2. *Disclosure.* Over all documents, c(t) counts those that hold term t, c(e) those that hold entity
    e, c(t,e) those where t stands within ``reach`` characters of e, and N all of them. A term's
    disclosure of an entity is its pointwise mutual information over the entity's information:
-   ln(c(t,e) N / (c(t) c(e))) / ln(N / c(e)), which is 1 when the term occurs beside the entity only.
+   ln(p N / c(e)) / ln(N / c(e)), where p estimates how often the entity stands beside the term. It is
+   smoothed by ``prior`` documents in which the entity is as frequent as in all of them, p =
+   (c(t,e) + prior c(e) / N) / (c(t) + prior): a term that occurs beside the entity only nears 1 as
+   it is seen more often, and a pair seen once counts, too, with what one document shows.
 3. *Sanitising.* In the documents that hold the entity, every occurrence of a term is generalised
-   from a disclosure of ``generalise_at`` on and removed from ``remove_at`` on; pairs seen in fewer
-   than ``support`` documents are no estimate and don't count. Base spans are always kept.
+   from a disclosure of ``generalise_at`` on and removed from ``remove_at`` on. Base spans are always
+   kept.
 
 Terms are runs of four or more letters, in lower case. Offsets are code points, ends exclusive.
 Defined cases: null text counts as empty; an entity in every document has no information to lose
@@ -100,19 +103,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def added_spans(docs: DataFrame, marked: DataFrame, support: int, reach: int, generalise_at: float, remove_at: float) -> DataFrame:
+def added_spans(docs: DataFrame, marked: DataFrame, prior: float, reach: int, generalise_at: float, remove_at: float) -> DataFrame:
     """(doc_id, key, added): the spans of disclosing terms, for the documents that have any. marked: doc_id, key, text and spans of the documents with entities."""
     mentions = marked.select("doc_id", "key", F.explode("spans").alias("s"), "text").select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.explode(_beside(F.col("text"), F.col("s"), reach)).alias("term"))
     mentions = cut(mentions.distinct())
-    pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= support)
+    pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("c_te"))
     entities = marked.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
     pairs = cut(pairs.join(entities, "entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= 4)
     # counted before they meet the pairs: map-side sums leave one row for a word and task, however common the word is
     counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
     total = docs.count()
-    information = F.log(F.lit(float(total)) / F.col("c_e"))
-    disclosure = F.when(information > 0, F.log(F.col("c_te") * F.lit(float(total)) / (F.col("c_t") * F.col("c_e"))) / information).otherwise(0.0)
+    share = F.col("c_e") / F.lit(float(total))
+    beside = (F.col("c_te") + prior * share) / (F.col("c_t") + prior)
+    disclosure = F.when(share < 1, F.log(beside / share) / -F.log(share)).otherwise(0.0)
     flagged = pairs.join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
     where = mentions.join(flagged.select("entity", "term", "disclosure"), ["entity", "term"]).groupBy("doc_id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
     places = where.alias("w").join(marked.alias("m"), F.expr("w.doc_id <=> m.doc_id and w.key = m.key")).select("m.doc_id", "m.key", "w.term", "w.disclosure", "m.text", "m.spans").dropDuplicates(["doc_id", "key", "term"])
@@ -122,18 +126,18 @@ def added_spans(docs: DataFrame, marked: DataFrame, support: int, reach: int, ge
     return free.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("value")))).alias("added"))
 
 
-def _analysed(docs: DataFrame, id_col: str, text_col: str, support: int, reach: int, generalise_at: float, remove_at: float) -> tuple[DataFrame, DataFrame]:
+def _analysed(docs: DataFrame, id_col: str, text_col: str, prior: float, reach: int, generalise_at: float, remove_at: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, spans, and the text where there are spans) of every row; the added spans."""
     keyed = _keyed(docs, id_col, text_col)
     based = keyed.withColumn("spans", base_spans(F.col("text"))).withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
     based = cut(based)
     marked = based.where("text is not null").select("doc_id", "key", "text", "spans")
-    return based, added_spans(keyed, marked, support, reach, generalise_at, remove_at)
+    return based, added_spans(keyed, marked, prior, reach, generalise_at, remove_at)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, reach: int = 80, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, reach: int = 80, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """doc_id, counts of the kinds, base_sha256, spans and n_terms of every row of docs."""
-    based, added = _analysed(docs, id_col, text_col, support, reach, generalise_at, remove_at)
+    based, added = _analysed(docs, id_col, text_col, prior, reach, generalise_at, remove_at)
     extra = added.select(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key"), "added")
     rows = based.drop("text").join(extra, F.expr("doc_id <=> a_id and key = a_key"), "left")
     every = F.concat("spans", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")))
@@ -141,9 +145,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     return rows.select("doc_id", count(0), count(1), count(2), count(3), F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(every).alias("spans"), (F.size(every) - F.size("spans")).cast("long").alias("n_terms"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, reach: int = 80, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, reach: int = 80, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """docs with every span in the text replaced by its tag (overlapping ones by the first's) and n_chars, if there, set anew; other rows are as they were."""
-    _, added = _analysed(docs, id_col, text_col, support, reach, generalise_at, remove_at)
+    _, added = _analysed(docs, id_col, text_col, prior, reach, generalise_at, remove_at)
     added = cut(added)
     side = added.select(F.col("doc_id").alias("__a_id"), F.col("key").alias("__a_key"), F.col("added").alias("__added"))
     if added.count() <= BROADCAST_ROWS:

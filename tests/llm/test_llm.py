@@ -80,6 +80,12 @@ def test_disclosing_terms_are_added(spark):
     assert got[0].n_terms >= 1 and "removed" in got[0].spans and got[10].spans == ""
 
 
+def test_terms_beside_rare_entities_are_added(spark):
+    rows = [(1, "ask zorblatt at me@here.org today")] + [(10 + i, "plain things to ask about today") for i in range(60)]
+    got = pii.find(docs(spark, rows)).where("doc_id = 1").first()
+    assert got.n_terms == 1 and got.spans.endswith(":4:12")
+
+
 def test_permutation_and_slots(spark):
     p = sharding.FeistelPermutation(1000, 7)
     at = p.forward(np.arange(1000))
