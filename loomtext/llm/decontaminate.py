@@ -3,9 +3,9 @@
 A mask picks some positions of a window of words and ignores the others, so a window whose ignored
 words were replaced still has the same hash. The hashes of all benchmark windows under all masks
 form an index; the windows of every document are looked up in it. Around a hit the item and the
-document are laid over each other, and the stretch with the highest score (+1 for an equal word,
--4 for another) is taken: it is an overlap if it has at least ``min_words`` equal words, or every
-word of a shorter item. Such a stretch has at least four equal words in five.
+document are laid over each other, and of all stretches with at least four equal words in five the
+one with the most equal words is taken: it is an overlap if these are at least ``min_words``, or four
+fifths of the words of a shorter item.
 
 Words are runs of ASCII letters and digits and of bytes of other letters, in lower case. The
 benchmark is read in blocks of at most ``block_chars`` characters, each broadcast as its index; a
@@ -94,12 +94,15 @@ def build_index(items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(from, to, equal words) of the stretch with the highest sum of +1 and -4; the first of such."""
-    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))
-    low = np.minimum.accumulate(sums)
-    to = int(np.argmax(sums - low))
-    start = int(np.argmax(sums[: to + 1] == low[to]))
-    return start, to, int(equal[start:to].sum())
+    """(from, to, equal words) of the stretch with the most equal words of those with four equal in five; the shortest, then the first of such."""
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))  # not less at the end than at the start: four in five
+    count = np.concatenate(([0], np.cumsum(equal)))
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums)  # for each end, the earliest such start
+    first = np.searchsorted(count, count[start], "right") - 1  # words that differ there only lengthen it
+    first = np.minimum(first, np.arange(len(sums)))
+    found = count - count[first]
+    to = int(np.lexsort((np.arange(len(sums)) - first, -found))[0])
+    return int(first[to]), to, int(found[to])
 
 
 def overlaps(texts: pa.Array, index: SeedIndex, filters: list[np.ndarray], min_words: int):
@@ -124,7 +127,7 @@ def overlaps(texts: pa.Array, index: SeedIndex, filters: list[np.ndarray], min_w
             item = index.words[k]
             a, b = max(int(at[r]), diagonal), min(int(at[r + 1]), diagonal + len(item))
             s, e, equal = best_stretch(words[a:b] == item[a - diagonal : b - diagonal])
-            if equal >= min(min_words, len(item)):
+            if equal >= min(min_words, -(-4 * len(item) // 5)):
                 found = (equal, e - s, a + s - int(at[r]), a + s - diagonal)
                 if (r, k) not in best or (-found[0], found[1:]) < (-best[r, k][0], best[r, k][1:]):
                     best[r, k] = found

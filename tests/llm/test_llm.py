@@ -104,6 +104,26 @@ def test_substituted_benchmark_passage(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(d, b).collect()] == [(1, 5)]
 
 
+def test_substitutions_that_end_the_best_stretch(spark):
+    def changed(words, *at):
+        return " ".join("other" if k in at else w for k, w in enumerate(words))
+
+    items = [(1, WORDS[:29]), (2, WORDS[30:46]), (3, WORDS[50:60])]
+    d = docs(spark, [(1, changed(items[0][1], 11, 12, 13, 21)), (2, changed(items[1][1], 3, 12)), (3, changed(items[2][1], 9)), (4, " ".join(WORDS[:9] + WORDS[100:130]))])
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_compared) for r in decontaminate.find_overlaps(d, b).collect()}
+    assert got == {(1, 1): (25, 29), (2, 2): (14, 16), (3, 3): (9, 9)}
+
+
+def test_best_stretch_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 40)) < 0.75
+        most = max(int(equal[a:b].sum()) for a in range(len(equal)) for b in range(a, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a))
+        s, e, n = decontaminate.best_stretch(equal)
+        assert n == most == equal[s:e].sum() and 5 * n >= 4 * (e - s)
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 40))
