@@ -3,8 +3,8 @@
 A text is layer 0. Runs that look URL-encoded, Unicode-escaped or like base64 are decoded into new
 layers (base64 bytes that are gzip or zlib data are inflated first); every new layer is scanned and
 put on the worklist itself, until nothing new appears. A layer whose content was seen before in the
-same text is not taken again, which ends cycles. Secrets of a decoded layer are reported with the
-span of the outermost encoded run in the original text.
+same text is not decoded again, which ends cycles. Secrets of a decoded layer are reported with the
+spans of all outermost encoded runs in the original text that lead to it.
 
 Fixed limits keep a hostile text from growing without end: an inflated layer has at most
 ``max_inflated`` characters (a longer one is dropped whole, and counted in ``n_oversize``).
@@ -116,25 +116,43 @@ def decoded_runs(text: str, limit: int):
 def scan(text: str, max_inflated: int = 1 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int]], int]:
     """Base spans; (start, end, path of codings, depth) of the outermost runs that hide secrets; runs past the limit."""
     base = base_spans(text)
-    hidden: dict[tuple[int, int], tuple[str, int]] = {}
     oversize = 0
-    seen = {text}
-    work = [(text, None, "", 0)]
+    runs: dict[str, list[tuple[int, int, str, str]]] = {text: []}  # the encoded runs of each layer; a layer is decoded once
+    near = {text: 0} if base else {}  # steps from a layer to the nearest one with base spans
+    work = [text]
     while work:
-        layer, outer, path, depth = work.pop()
+        layer = work.pop()
         for a, b, how, inner in decoded_runs(layer, max_inflated):
-            where = outer or (a, b)
             if inner is None:
                 oversize += 1
                 continue
-            if inner in seen:
-                continue
-            seen.add(inner)
-            way = f"{path}>{how}" if path else how
-            if base_spans(inner) and where not in hidden:
-                hidden[where] = (way, depth + 1)
-            work.append((inner, where, way, depth + 1))
-    return base, [(a, b, way, depth) for (a, b), (way, depth) in sorted(hidden.items())], oversize
+            runs[layer].append((a, b, how, inner))
+            if inner not in runs:
+                runs[inner] = []
+                if base_spans(inner):
+                    near[inner] = 0
+                work.append(inner)
+    onto: dict[str, list[str]] = {}
+    for layer, found in runs.items():
+        for _, _, _, inner in found:
+            onto.setdefault(inner, []).append(layer)
+    front = list(near)
+    while front:
+        layer = front.pop(0)
+        for outer in onto.get(layer, ()):
+            if outer not in near:
+                near[outer] = near[layer] + 1
+                front.append(outer)
+    hidden: dict[tuple[int, int], tuple[int, str]] = {}
+    for a, b, how, inner in runs[text]:
+        if inner not in near:
+            continue
+        way, depth = how, near[inner] + 1
+        while near[inner]:
+            _, how, inner = min((near[x], h, x) for _, _, h, x in runs[inner] if x in near)
+            way += f">{how}"
+        hidden[a, b] = min(hidden.get((a, b), (depth, way)), (depth, way))
+    return base, [(a, b, way, depth) for (a, b), (depth, way) in sorted(hidden.items())], oversize
 
 
 def redact(text: str, max_inflated: int = 1 << 20) -> str:

@@ -67,6 +67,17 @@ def test_nested_secrets_are_found():
     assert not base and hidden and hidden[0][0] == 6 and hidden[0][1] == 6 + len(twice)
 
 
+def test_repeated_hidden_secrets_all_have_spans():
+    plain = "password=hunter22xx"
+    once = base64.b64encode(plain.encode()).decode()
+    url = "".join(f"%{b:02x}" for b in plain.encode())
+    twice = base64.b64encode(f"see {once} end".encode()).decode()
+    text = f"{once} and {once} and {url} and {twice}"
+    _, hidden, _ = secrets.scan(text)
+    assert [text[a:b] for a, b, _, _ in hidden] == [once, once, url, twice] and [d for *_, d in hidden] == [1, 1, 1, 2]
+    assert secrets.redact(text) == "[SECRET] and [SECRET] and [SECRET] and [SECRET]"
+
+
 def test_personal_data(spark):
     text = "mail a.b@c.de, ip 10.0.0.1, card 4111 1111 1111 1111, call +49 (30) 1234567 now; bad 999.1.1.1"
     r = pii.find(docs(spark, [(1, text), (2, None)])).orderBy("doc_id").collect()
