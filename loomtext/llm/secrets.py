@@ -4,7 +4,8 @@ A text is layer 0. Runs that look URL-encoded, Unicode-escaped or like base64 ar
 layers (base64 bytes that are gzip or zlib data are inflated first); every new layer is scanned and
 put on the worklist itself, until nothing new appears. A layer whose content was seen before in the
 same text is not decoded again, which ends cycles. Secrets of a decoded layer are reported with the
-spans of all outermost encoded runs in the original text that lead to it.
+spans of all outermost encoded runs in the original text that lead to it; in an escaped run, which
+takes in the plain text around its escapes, that is the part of it that decodes to the find.
 
 Fixed limits keep a hostile text from growing without end: an inflated layer has at most
 ``max_inflated`` characters (a longer one is dropped whole, and counted in ``n_oversize``).
@@ -37,9 +38,11 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 URL_RUN = re.compile(r"[A-Za-z0-9._~+/=:&?-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?-]*)+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[\x20-\x5b\x5d-\x7e])*")
+#: Whole stretches of escapes and the printable text around them; those without an escape are no runs.
+UNICODE_RUN = re.compile(r"(?:[\x20-\x5b\x5d-\x7e]+|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+#: Two halves of a pair, any other \\u escape, or \\x.
+ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,6 +80,22 @@ def _inflated(raw: bytes, limit: int) -> bytes | None:
     return out
 
 
+def _escaped(e: re.Match) -> str:
+    if e[1]:
+        return chr(0x10000 + (int(e[1], 16) - 0xD800 << 10) + int(e[2], 16) - 0xDC00)
+    code = int(e[3] or e[4], 16)
+    return "\ufffd" if 0xD800 <= code < 0xE000 else chr(code)
+
+
+def _sources(run: str) -> list[int]:
+    """The place in the run of each character of its unescaped text, and the end of the run."""
+    out, at = [], 0
+    for e in ESCAPE.finditer(run):
+        out += range(at, e.start() + 1)
+        at = e.end()
+    return [*out, *range(at, len(run) + 1)]
+
+
 def decoded_runs(text: str, limit: int):
     """(start, end, name of the coding, decoded text) of the encoded runs of one layer; the text is None past the limit."""
     if "%" in text:
@@ -86,9 +105,8 @@ def decoded_runs(text: str, limit: int):
                 yield m.start(), m.end(), "url", got
     if "\\u" in text or "\\x" in text:
         for m in UNICODE_RUN.finditer(text):
-            got = ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), m[0])
-            got = got.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-            yield m.start(), m.end(), "unicode", got
+            if "\\" in m[0]:
+                yield m.start(), m.end(), "unicode", ESCAPE.sub(_escaped, m[0])
     for m in BASE64_RUN.finditer(text):
         run = m[0]
         body = run.rstrip("=").replace("-", "+").replace("_", "/")
@@ -144,14 +162,28 @@ def scan(text: str, max_inflated: int = 1 << 20) -> tuple[list[tuple[int, int, i
                 near[outer] = near[layer] + 1
                 front.append(outer)
     hidden: dict[tuple[int, int], tuple[int, str]] = {}
-    for a, b, how, inner in runs[text]:
-        if inner not in near:
-            continue
-        way, depth = how, near[inner] + 1
+
+    def hides(a: int, b: int, way: str, depth: int, inner: str):
+        depth += near[inner]
         while near[inner]:
             _, how, inner = min((near[x], h, x) for _, _, h, x in runs[inner] if x in near)
             way += f">{how}"
         hidden[a, b] = min(hidden.get((a, b), (depth, way)), (depth, way))
+
+    for a, b, how, inner in runs[text]:
+        if inner not in near:
+            continue
+        if how != "unicode":
+            hides(a, b, how, 1, inner)
+            continue
+        # an escaped run takes in plain text: only its parts that hide a secret count, each with its own span
+        at = _sources(text[a:b])
+        for s, _, e in base_spans(inner):
+            if at[e] - at[s] > e - s:
+                hidden[a + at[s], a + at[e]] = (1, how)
+        for s, e, second, x in runs[inner]:
+            if x in near and at[e] - at[s] > e - s:
+                hides(a + at[s], a + at[e], f"{how}>{second}", 2, x)
     return base, [(a, b, way, depth) for (a, b), (depth, way) in sorted(hidden.items())], oversize
 
 

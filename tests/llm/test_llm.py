@@ -78,6 +78,17 @@ def test_repeated_hidden_secrets_all_have_spans():
     assert secrets.redact(text) == "[SECRET] and [SECRET] and [SECRET] and [SECRET]"
 
 
+def test_partly_escaped_secrets_are_found():
+    for run in (r"token\u003dabcdef123456", r"pass\u0077ord=hunter22xx", r"p\x61ssword=hunter22xx"):
+        text = f'plain front, "{run}" and caf\\u00e9 back'
+        base, hidden, _ = secrets.scan(text)
+        assert not base and [text[a:b] for a, b, _, _ in hidden] == [run]
+    inner = base64.b64encode(b"password=hunter22xx").decode()
+    text = f"see {inner[:5]}\\u{ord(inner[5]):04x}{inner[6:]} end"
+    assert [(text[a:b], way, depth) for a, b, way, depth in secrets.scan(text)[1]] == [(text[4:-4], "unicode>base64", 2)]
+    assert secrets.scan("password=hunter22xx and caf\\u00e9 \\ud83d\\ude42 \\ud83d")[1] == []
+
+
 def test_personal_data(spark):
     text = "mail a.b@c.de, ip 10.0.0.1, card 4111 1111 1111 1111, call +49 (30) 1234567 now; bad 999.1.1.1"
     r = pii.find(docs(spark, [(1, text), (2, None)])).orderBy("doc_id").collect()
