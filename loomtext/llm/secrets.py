@@ -1,14 +1,16 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is layer 0. Runs that look URL-encoded, Unicode-escaped or like base64 are decoded into new
-layers (base64 bytes that are gzip or zlib data are inflated first); every new layer is scanned and
+layers, and so are gzip and zlib data in a decoded layer; every new layer is scanned and
 put on the worklist itself, until nothing new appears. A layer whose content was seen before in the
 same text is not decoded again, which ends cycles. Secrets of a decoded layer are reported with the
 spans of all outermost encoded runs in the original text that lead to it; in an escaped run, which
 takes in the plain text around its escapes, that is the part of it that decodes to the find.
 
-Fixed limits keep a hostile text from growing without end: an inflated layer has at most
-``max_inflated`` characters (a longer one is dropped whole, and counted in ``n_oversize``).
+A decoded layer that is not valid UTF-8 is scanned with one character for each byte. An inflated layer
+of over ``max_inflated`` bytes is inflated as a stream and scanned in overlapping windows (counted in
+``n_oversize``). Fixed limits there keep a hostile text from growing without end: a run of over 16
+times ``max_inflated`` is decoded in pieces, and streams within streams are inflated 20 deep.
 
 Defined cases: null text counts as empty; repeated rows give equal results; extra columns are ignored.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import heapq
 import re
 import zlib
 from urllib.parse import unquote_to_bytes
@@ -41,6 +44,11 @@ URL_RUN = re.compile(r"[A-Za-z0-9._~+/=:&?-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:
 #: Whole stretches of escapes and the printable text around them; those without an escape are no runs.
 UNICODE_RUN = re.compile(r"(?:[\x20-\x5b\x5d-\x7e]+|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: First bytes of gzip and of zlib data without a dictionary.
+HEADS = re.compile(b"|".join([rb"\x1f\x8b\x08", *(re.escape(bytes((c, f))) for c in range(0x08, 0x80, 0x10) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 0x20)]))
+#: What ends every run of an encoding.
+RUN_END = re.compile(rb"[^A-Za-z0-9._~+/=:&?%\\-]")
+CHUNK, GROWTH, LEVELS = 1 << 16, 16, 20
 #: Two halves of a pair, any other \\u escape, or \\x.
 ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
@@ -57,27 +65,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _printable(raw: bytes) -> str | None:
+def _text(raw: bytes) -> str:
+    """The bytes as UTF-8, or one character for each byte where they aren't such: all patterns are ASCII."""
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _inflated(raw: bytes, limit: int) -> bytes | None:
-    """The data in gzip or zlib bytes; None if they aren't such; raises OverflowError past the limit."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 0x0F == 8 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        return None
-    try:
-        unpack = zlib.decompressobj(47)
-        out = unpack.decompress(raw, limit)
-    except zlib.error:
-        return None
-    if unpack.unconsumed_tail:
-        raise OverflowError
-    return out
+        return raw.decode("latin-1")
+
+
+def _slices(raw: bytes, at: int):
+    return (raw[i : i + CHUNK] for i in range(at, len(raw), CHUNK))
+
+
+def _inflated(chunks):
+    """The data of gzip (all members) or zlib bytes in chunks, as far as they are such."""
+    unpack = zlib.decompressobj(47)
+    for data in chunks:
+        more = True
+        while data or more:
+            try:
+                got = unpack.decompress(data, CHUNK)
+            except zlib.error:
+                return
+            if got:
+                yield got
+            data, more = unpack.unconsumed_tail, len(got) == CHUNK
+            if unpack.eof:
+                data, more = unpack.unused_data, False
+                if data and data[:2] != b"\x1f\x8b":
+                    return
+                unpack = zlib.decompressobj(47)
+
+
+def _windows(source, limit: int, level: int = 0):
+    """The texts of a stream of bytes, source(): all of it up to limit bytes; beyond, a None and overlapping windows.
+
+    Half of limit comes again in the next window, and a window that ends in a longer run grows with it, up to GROWTH
+    times limit. A stream beyond limit that is compressed itself is inflated as a stream, too, at most LEVELS deep.
+    """
+    chunks = source()
+    buffer = bytearray()
+    ended, large, packed, size = False, False, False, limit + 1
+    while not ended:
+        while len(buffer) < size and not ended:
+            more = next(chunks, None)
+            if more is None:
+                ended = True
+            else:
+                buffer += more
+        if not large and len(buffer) > limit:
+            large, packed = True, HEADS.match(buffer) is not None
+            yield None
+        if not ended and len(buffer) < GROWTH * limit and not RUN_END.search(buffer, len(buffer) - limit // 2):
+            size = len(buffer) + limit
+            continue
+        if buffer:
+            yield _text(bytes(buffer))
+        del buffer[: max(len(buffer) - limit // 2, 0)]
+        size = limit + 1
+    if packed and level < LEVELS:
+        yield from _windows(lambda: _inflated(source()), limit, level + 1)
 
 
 def _escaped(e: re.Match) -> str:
@@ -96,12 +143,12 @@ def _sources(run: str) -> list[int]:
     return [*out, *range(at, len(run) + 1)]
 
 
-def decoded_runs(text: str, limit: int):
-    """(start, end, name of the coding, decoded text) of the encoded runs of one layer; the text is None past the limit."""
+def decoded_runs(text: str, limit: int, inside: bool = False):
+    """(start, end, name of the coding, decoded text) of the encoded runs of one layer; before the windows of one past the limit, the text is None. inside: a decoded layer, which may hold compressed bytes."""
     if "%" in text:
         for m in URL_RUN.finditer(text):
-            got = _printable(unquote_to_bytes(m[0]))
-            if got is not None and got != m[0]:
+            got = _text(unquote_to_bytes(m[0]))
+            if got != m[0]:
                 yield m.start(), m.end(), "url", got
     if "\\u" in text or "\\x" in text:
         for m in UNICODE_RUN.finditer(text):
@@ -116,74 +163,87 @@ def decoded_runs(text: str, limit: int):
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        try:
-            inner = _inflated(raw, limit)
-        except OverflowError:
-            yield m.start(), m.end(), "compressed", None
-            continue
-        if inner is not None:
-            got = _printable(inner)
-            if got is not None:
-                yield m.start(), m.end(), "compressed", got
-        else:
-            got = _printable(raw)
-            if got is not None:
-                yield m.start(), m.end(), "base64", got
+        yield m.start(), m.end(), "base64", _text(raw)
+    if inside:
+        raw = text.encode("latin-1", "replace")
+        for m in HEADS.finditer(raw):
+            for got in _windows(lambda at=m.start(): _inflated(_slices(raw, at)), limit):
+                yield m.start(), len(text), "compressed", got
+
+
+def _key(text: str):
+    """What a layer is known by: large ones aren't kept."""
+    return text if len(text) <= 4096 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def scan(text: str, max_inflated: int = 1 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int]], int]:
-    """Base spans; (start, end, path of codings, depth) of the outermost runs that hide secrets; runs past the limit."""
+    """Base spans; (start, end, path of codings, depth) of the outermost runs that hide secrets; inflated layers past the limit, which are scanned in windows."""
     base = base_spans(text)
     oversize = 0
-    runs: dict[str, list[tuple[int, int, str, str]]] = {text: []}  # the encoded runs of each layer; a layer is decoded once
-    near = {text: 0} if base else {}  # steps from a layer to the nearest one with base spans
-    work = [text]
+    number = {_key(text): 0}  # of each layer; a layer is decoded once
+    runs: list[list[tuple[int, int, str, int]]] = [[]]  # the encoded runs of each layer
+    queue = [(0, 0, 0)] if base else []  # depth, steps and layer, for the layers with base spans
+    work = [(0, decoded_runs(text, max_inflated))]
     while work:
-        layer = work.pop()
-        for a, b, how, inner in decoded_runs(layer, max_inflated):
+        layer, found = work[-1]
+        for a, b, how, inner in found:
             if inner is None:
                 oversize += 1
                 continue
-            runs[layer].append((a, b, how, inner))
-            if inner not in runs:
-                runs[inner] = []
+            new = len(runs)
+            x = number.setdefault(_key(inner), new)
+            runs[layer].append((a, b, how, x))
+            if x == new:
+                runs.append([])
                 if base_spans(inner):
-                    near[inner] = 0
-                work.append(inner)
-    onto: dict[str, list[str]] = {}
-    for layer, found in runs.items():
-        for _, _, _, inner in found:
-            onto.setdefault(inner, []).append(layer)
-    front = list(near)
-    while front:
-        layer = front.pop(0)
-        for outer in onto.get(layer, ()):
-            if outer not in near:
-                near[outer] = near[layer] + 1
-                front.append(outer)
+                    queue.append((0, 0, x))
+                work.append((x, decoded_runs(inner, max_inflated, True)))
+                break
+        else:
+            work.pop()
+    if len(runs) == 1 or not queue:
+        return base, [], oversize
+    onto: dict[int, list[tuple[int, str]]] = {}
+    for layer, found in enumerate(runs):
+        for _, _, how, x in found:
+            onto.setdefault(x, []).append((layer, how))
+    near: dict[int, tuple[int, int]] = {}  # depth and steps from a layer to its nearest secret; inflating a run's bytes is no depth of its own
+    onward: dict[int, tuple[str, int]] = {}
+    best = {x: (0, 0) for _, _, x in queue}
+    heapq.heapify(queue)
+    while queue:
+        depth, steps, x = heapq.heappop(queue)
+        if x in near:
+            continue
+        near[x] = (depth, steps)
+        for outer, how in onto.get(x, ()):
+            far = (depth + (how != "compressed"), steps + 1)
+            if outer not in best or far < best[outer]:
+                best[outer], onward[outer] = far, (how, x)
+                heapq.heappush(queue, (*far, outer))
     hidden: dict[tuple[int, int], tuple[int, str]] = {}
 
-    def hides(a: int, b: int, way: str, depth: int, inner: str):
-        depth += near[inner]
-        while near[inner]:
-            _, how, inner = min((near[x], h, x) for _, _, h, x in runs[inner] if x in near)
+    def hides(a: int, b: int, way: str, depth: int, x: int):
+        depth += near[x][0]
+        while near[x][1]:
+            how, x = onward[x]
             way += f">{how}"
         hidden[a, b] = min(hidden.get((a, b), (depth, way)), (depth, way))
 
-    for a, b, how, inner in runs[text]:
-        if inner not in near:
+    for a, b, how, x in runs[0]:
+        if x not in near:
             continue
         if how != "unicode":
-            hides(a, b, how, 1, inner)
+            hides(a, b, how, 1, x)
             continue
         # an escaped run takes in plain text: only its parts that hide a secret count, each with its own span
         at = _sources(text[a:b])
-        for s, _, e in base_spans(inner):
+        for s, _, e in base_spans(ESCAPE.sub(_escaped, text[a:b])):
             if at[e] - at[s] > e - s:
                 hidden[a + at[s], a + at[e]] = (1, how)
-        for s, e, second, x in runs[inner]:
-            if x in near and at[e] - at[s] > e - s:
-                hides(a + at[s], a + at[e], f"{how}>{second}", 2, x)
+        for s, e, second, y in runs[x]:
+            if y in near and at[e] - at[s] > e - s:
+                hides(a + at[s], a + at[e], f"{how}>{second}", 1 + (second != "compressed"), y)
     return base, [(a, b, way, depth) for (a, b), (depth, way) in sorted(hidden.items())], oversize
 
 
@@ -202,7 +262,7 @@ FIELDS = "doc_id long, n_assign long, n_access long, n_hex long, n_decoded long,
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_inflated: int = 1 << 20) -> DataFrame:
-    """One row for each of docs: counts of the base kinds, of decoded finds and of runs past the limit, the digest of the base spans, and all spans (decoded ones under the kind decoded)."""
+    """One row for each of docs: counts of the base kinds, of decoded finds and of inflated layers past the limit, the digest of the base spans, and all spans (decoded ones under the kind decoded)."""
     ship_package(docs.sparkSession)
 
     def run(batches):

@@ -89,6 +89,32 @@ def test_partly_escaped_secrets_are_found():
     assert secrets.scan("password=hunter22xx and caf\\u00e9 \\ud83d\\ude42 \\ud83d")[1] == []
 
 
+def test_layers_of_bytes_are_scanned():
+    plain = b"password=hunter22xx"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    url = lambda raw: "".join(f"%{b:02X}" for b in raw)
+    big = b"some filler line\n" * 70_000
+    packed = {
+        "gzip in gzip": b64(gzip.compress(gzip.compress(plain))),
+        "zlib in gzip": b64(gzip.compress(zlib.compress(plain))),
+        "two members": b64(gzip.compress(b"none") + gzip.compress(plain)),
+        "behind other bytes": b64(b"head" + zlib.compress(plain)),
+        "gzip in URL": "x=" + url(gzip.compress(plain)),
+        "not UTF-8": "caf%E9/" + url(plain),
+        "unprintable": b64(plain + bytes(range(30))),
+        "large": b64(gzip.compress(big + plain)),
+        "large, no line ends": b64(zlib.compress(b"x" * 1_500_000 + b" " + plain)),
+        "large in large": b64(gzip.compress(gzip.compress(np.random.default_rng(5).bytes(1_200_000) + plain))),
+        "run over a window's end": b64(zlib.compress(b"a" * 300_001 + b" " + base64.b64encode(b" " * 900_000 + plain))),
+    }
+    for name, run in packed.items():
+        text = f"front, {run}, back"
+        base, hidden, _ = secrets.scan(text)
+        assert not base and [text[a:b] for a, b, _, _ in hidden] == [run], name
+    slashed = "data " + "".join(f"\\x{b:02x}" for b in zlib.compress(plain))
+    assert len(secrets.scan(slashed)[1]) == 1 and "x78" not in secrets.redact(slashed)
+
+
 def test_personal_data(spark):
     text = "mail a.b@c.de, ip 10.0.0.1, card 4111 1111 1111 1111, call +49 (30) 1234567 now; bad 999.1.1.1"
     r = pii.find(docs(spark, [(1, text), (2, None)])).orderBy("doc_id").collect()
