@@ -108,7 +108,8 @@ def added_spans(docs: DataFrame, marked: DataFrame, prior: float, reach: int, ge
     mentions = marked.select("doc_id", "key", F.explode("spans").alias("s"), "text").select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.explode(_beside(F.col("text"), F.col("s"), reach)).alias("term"))
     mentions = cut(mentions.distinct())
     pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("c_te"))
-    entities = marked.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
+    holders = cut(marked.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct())
+    entities = holders.groupBy("entity").agg(F.count("*").alias("c_e"))
     pairs = cut(pairs.join(entities, "entity"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= 4)
     # counted before they meet the pairs: map-side sums leave one row for a word and task, however common the word is
@@ -118,12 +119,19 @@ def added_spans(docs: DataFrame, marked: DataFrame, prior: float, reach: int, ge
     beside = (F.col("c_te") + prior * share) / (F.col("c_t") + prior)
     disclosure = F.when(share < 1, F.log(beside / share) / -F.log(share)).otherwise(0.0)
     flagged = pairs.join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
-    where = mentions.join(flagged.select("entity", "term", "disclosure"), ["entity", "term"]).groupBy("doc_id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
-    places = where.alias("w").join(marked.alias("m"), F.expr("w.doc_id <=> m.doc_id and w.key = m.key")).select("m.doc_id", "m.key", "w.term", "w.disclosure", "m.text", "m.spans").dropDuplicates(["doc_id", "key", "term"])
-    found = _matches(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})")))
-    kind = F.when(F.col("disclosure") >= remove_at, KINDS.index("removed")).otherwise(KINDS.index("general"))
-    free = places.select("doc_id", "key", kind.alias("kind"), F.explode(found).alias("t"), "spans").where(~F.exists("spans", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
-    return free.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("value")))).alias("added"))
+    flagged = cut(flagged.select("entity", "term", "disclosure"))
+    side = F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged
+    # by the term first: a common entity with many terms would meet every one of its documents with every term
+    held = marked.select("doc_id", "key", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= 4).distinct()
+    where = held.join(side, "term").alias("w").join(holders.alias("h"), F.expr("w.entity = h.entity and w.key = h.key and w.doc_id <=> h.doc_id"))
+    where = where.groupBy("w.doc_id", "w.key", "w.term").agg(F.max("disclosure").alias("disclosure"))
+    remove = F.col("disclosure") >= remove_at
+    listed = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("term")))), "|")
+    terms = where.groupBy("doc_id", "key").agg(listed(remove).alias("removed"), listed(~remove).alias("general"))
+    places = terms.alias("w").join(marked.dropDuplicates(["doc_id", "key"]).alias("m"), F.expr("w.doc_id <=> m.doc_id and w.key = m.key")).select("m.doc_id", "m.key", "w.removed", "w.general", "m.text", "m.spans")
+    found = [_kinded(_matches(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col(c), F.lit(r")(?!\p{L})")), F.col(c) != ""), KINDS.index(c)) for c in ("removed", "general")]
+    free = F.filter(F.concat(*found), lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return places.select("doc_id", "key", F.sort_array(F.array_distinct(free)).alias("added")).where(F.size("added") > 0)
 
 
 def _analysed(docs: DataFrame, id_col: str, text_col: str, prior: float, reach: int, generalise_at: float, remove_at: float) -> tuple[DataFrame, DataFrame]:

@@ -134,6 +134,14 @@ def test_terms_beside_rare_entities_are_added(spark):
     assert got.n_terms == 1 and got.spans.endswith(":4:12")
 
 
+def test_disclosing_terms_far_from_the_entity_are_added(spark):
+    far = "plain things to ask about today " * 10
+    rows = [(1, "ask zorblatt at me@here.org today"), (2, f"Zorblatt first. {far} me@here.org"), (3, "me@here.org, zorblatt")] + [(10 + i, "plain things to ask about today first") for i in range(200)]
+    got = {r.doc_id: r for r in pii.find(docs(spark, rows)).collect()}
+    assert ":4:12" in got[1].spans and ":0:8" in got[2].spans and got[2].n_terms == 1
+    assert pii.sanitise(docs(spark, rows)).where("doc_id = 2").first().text.startswith("[")
+
+
 def test_permutation_and_slots(spark):
     p = sharding.FeistelPermutation(1000, 7)
     at = p.forward(np.arange(1000))
