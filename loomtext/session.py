@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker, where the session sets none: a
+#: batch of the default 10,000 rows has no bound on its bytes.
+BATCH_BYTES = "4m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of the session, once per application."""
+    """Make this package importable in the Python workers of the session, once per application, and bound its Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
