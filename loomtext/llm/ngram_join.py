@@ -10,9 +10,10 @@ global order of the tries). Two documents link when den * |A & B| >= num * |A |
    stars, one edge for each document and key). No link can leave a block. A document with more
    empty parts than its class allows for emits keys of the empty parts too, which keeps this exact.
 2. *Prefix trees.* Each block's distinct sets go to one task and are stored in a compressed trie.
-   Each set walks the trie once, carrying the overlap of the shared path, and leaves a subtree
-   when the overlap so far plus the smaller remaining length can't reach the need. Sets already
-   known to be in the walker's component are skipped, so a group of copies costs about one walk.
+   A set walks the trie, carrying the overlap of the shared path, and leaves a subtree when the
+   overlap so far plus the smaller remaining length can't reach the need. One walk finds all
+   partners of a set; subtrees of sets known to be in its component are not entered, and the sets
+   found walk next, so a group of near copies costs about one walk.
    Blocks with more shingles than ``chunk_shingles`` are cut into chunks and every pair of chunks
    gets a task of its own: nothing is capped.
 3. Sets with equal fingerprints (two 64-bit sums) count as one set throughout.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ from loomtext.session import cut, ship_package
 #: Rows of block membership up to which they are broadcast (24 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 BUCKETS_PER_PARTITION = 4
+#: Buckets at least, so that the packed pairs of one task and bucket stay small (16 MB over this).
+LEAST_BUCKETS = 4096
 SKETCH = 64
 
 
@@ -182,55 +186,80 @@ class PrefixTree:
 
 
 def link_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Component number of every set (sets must be distinct), found through a prefix tree."""
+    """Component number of every set (sets must be distinct), found through a prefix tree.
+
+    One walk gives all links of a set to sets outside its component, and the sets found walk next,
+    so a group of near copies around one text is joined after a few walks.
+    """
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     tree = PrefixTree([sets[i] for i in order])
     m = len(sets)
-    comp = np.arange(m)
+    comp, done = np.arange(m), np.zeros(m, bool)
     counts = np.stack([sketch(s) for s in tree.sets])
     size = tree.size
-    for x in range(m - 1):
-        n = size[x]
-        later = np.flatnonzero((comp[x + 1 :] != comp[x]) & (size[x + 1 :] * den >= n * num) & (size[x + 1 :] * num <= n * den)) + x + 1
-        if len(later):
-            far = np.abs(counts[later] - counts[x]).sum(1)
-            later = later[far * (den + num) <= (n + size[later]) * (den - num)]
-        while len(later):
-            found = next(iter(tree.linked(x, later, num, den)), None)
-            if found is None:
-                break
-            comp[comp == comp[found]] = comp[x]
-            later = later[comp[later] != comp[x]]
+    for seed in range(m):
+        todo = [seed]
+        while todo:
+            x = todo.pop()
+            if done[x]:
+                continue
+            done[x] = True
+            n = size[x]
+            some = np.flatnonzero((comp != comp[x]) & ~done & (size * den >= n * num) & (size * num <= n * den))
+            if len(some):
+                far = np.abs(counts[some] - counts[x]).sum(1)
+                some = some[far * (den + num) <= (n + size[some]) * (den - num)]
+            found = list(tree.linked(x, some, num, den)) if len(some) else []
+            if found:
+                comp[np.isin(comp, comp[found])] = comp[x]
+                todo += found
     out = np.empty(m, np.int64)
     out[order] = comp
     return out
 
 
+PAIRS = "bucket int, doc_id long, n long, f1 long, f2 long, other long, ks binary, vs binary"
+_TYPES = {"bucket": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "other": pa.int64(), "ks": pa.binary(), "vs": pa.binary()}
+
+
+def _batch(names: list[str], rows: int, **columns) -> pa.RecordBatch:
+    """A batch of the named columns; those not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[c]) if c in columns else pa.nulls(rows, _TYPES[c]) for c in names], names=names)
+
+
 def _key_blobs(batches, n: int, num: int, den: int, buckets: int):
-    """Rows of documents, and of packed (key, set) pairs for each bucket of keys."""
+    """Rows of documents, local edges, and packed (key, set) pairs for each bucket of keys.
+
+    Of all sets of a task that share a key only the least goes on under the key; the others get
+    an edge to it here. So a key of many documents sends one pair from each task.
+    """
+    names = list(_TYPES)
     classes = SizeClasses(num, den)
     held: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
-    count = 0
+    count, turn = 0, 0
+    limits = np.array([(b << 64) // buckets for b in range(1, buckets)], U)
 
     def packed():
+        nonlocal turn
         k, v = np.concatenate(held), np.concatenate(nodes)
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-        k, v = k[new], v[new]
-        cuts = np.searchsorted(k, [U((b << 64) // buckets) for b in range(buckets)] if buckets > 1 else [U(0)])
-        cuts = np.append(cuts, len(k))
-        for b in range(buckets):
-            if cuts[b + 1] > cuts[b]:
-                yield b, k[cuts[b] : cuts[b + 1]].tobytes(), v[cuts[b] : cuts[b + 1]].tobytes()
-
-    def blob_batch():
-        got = list(packed())
         held.clear()
         nodes.clear()
-        z = [None] * len(got)
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array(z, pa.int64()), pa.array(z, pa.int64()), pa.array(z, pa.int64()), pa.array(z, pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "doc_id", "n", "f1", "f2", "ks", "vs"])
+        order = np.lexsort((v, k))
+        k, v = k[order], v[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        least = np.repeat(v[first], np.diff(np.append(first, len(k))))
+        some = v != least
+        edges = np.unique(np.stack([v[some], least[some]], 1), axis=0)
+        if len(edges):
+            yield _batch(names, len(edges), bucket=((np.arange(len(edges)) + turn) % buckets).astype(np.int32), f1=edges[:, 0], other=edges[:, 1])
+            turn += len(edges)
+        k, v = k[first], v[first]
+        cuts = np.concatenate(([0], np.searchsorted(k, limits), [len(k)]))
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        for at in range(0, len(full), 1024):
+            some = full[at : at + 1024]
+            yield _batch(names, len(some), bucket=some.astype(np.int32), ks=[k[cuts[b] : cuts[b + 1]].tobytes() for b in some], vs=[v[cuts[b] : cuts[b + 1]].tobytes() for b in some])
 
     for batch in batches:
         sizes, f1, f2 = [], [], []
@@ -241,44 +270,70 @@ def _key_blobs(batches, n: int, num: int, den: int, buckets: int):
             f2.append(b)
             if len(s):
                 ks = classes.keys(s)
-                held.append(ks)
-                nodes.append(np.full(len(ks), a, np.int64))
-                count += len(ks)
-        z = pa.nulls(len(sizes), pa.binary())
-        at = (np.array(f1, np.int64).view(U) >> U(7)) % U(buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), z, z], names=["bucket", "doc_id", "n", "f1", "f2", "ks", "vs"])
-        if count > 1 << 20:
-            yield blob_batch()
-            count = 0
-    if count:
-        yield blob_batch()
+                if len(ks):
+                    held.append(ks)
+                    nodes.append(np.full(len(ks), a, np.int64))
+                    count += len(ks)
+            if count > 1 << 20:
+                yield from packed()
+                count = 0
+        rows = len(sizes)
+        # documents go to any bucket: copies of one text would crowd one otherwise
+        yield _batch(names, rows, bucket=((np.arange(rows) * 7919 + turn) % buckets).astype(np.int32), doc_id=batch.column(0).cast(pa.int64()), n=sizes, f1=f1, f2=f2)
+        turn += rows
+        pa.default_memory_pool().release_unused()
+    if held:
+        yield from packed()
 
 
 def _stars(batches):
-    """Documents as they are, and a star edge from each set under a shared key to the least of them."""
-    keys: list[np.ndarray] = []
-    nodes: list[np.ndarray] = []
+    """Documents and edges as they are, and an edge from each set under a shared key to the least one of them.
+
+    Rows come sorted by bucket; the pairs of one bucket are held at a time.
+    """
+    names = ["doc_id", "n", "f1", "f2", "other"]
+    bucket, keys, nodes = None, [], []
+    out: list[np.ndarray] = []
+    count = 0
+
+    def close():
+        k, v = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((v, k))
+        k, v = k[order], v[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        least = np.repeat(v[first], np.diff(np.append(first, len(k))))
+        some = v != least
+        return np.unique(np.stack([v[some], least[some]], 1), axis=0)
+
+    def flush():
+        edges = np.unique(np.concatenate(out), axis=0)
+        out.clear()
+        for at in range(0, len(edges), 10_000):
+            part = edges[at : at + 10_000]
+            yield _batch(names, len(part), f1=part[:, 0], other=part[:, 1])
+
     for batch in batches:
-        docs = batch.filter(batch.column("f1").is_valid())
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([docs.column(c) for c in ("doc_id", "n", "f1", "f2")] + [pa.nulls(docs.num_rows, pa.int64())], names=["doc_id", "n", "f1", "f2", "other"])
-        for k, v in zip(batch.column("ks"), batch.column("vs"), strict=True):
-            if k.is_valid:
-                keys.append(np.frombuffer(k.as_buffer(), U).copy())
-                nodes.append(np.frombuffer(v.as_buffer(), np.int64).copy())
-    if not keys:
-        return
-    k, v = np.concatenate(keys), np.concatenate(nodes)
-    order = np.lexsort((v, k))
-    k, v = k[order], v[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    least = np.repeat(v[first], np.diff(np.append(first, len(k))))
-    some = v != least
-    edges = np.unique(np.stack([v[some], least[some]], 1), axis=0)
-    for at in range(0, len(edges), 10_000):
-        part = edges[at : at + 10_000]
-        z = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([z, z, pa.array(part[:, 0]), z, pa.array(part[:, 1])], names=["doc_id", "n", "f1", "f2", "other"])
+        packed = batch.column("ks").is_valid()
+        plain = batch.filter(pa.compute.invert(packed))
+        if plain.num_rows:
+            yield plain.select(names)
+        for b, k, v in zip(*(batch.filter(packed).column(c) for c in ("bucket", "ks", "vs")), strict=True):
+            if b.as_py() != bucket:
+                if keys:
+                    out.append(close())
+                    count += len(out[-1])
+                    keys.clear(), nodes.clear()
+                bucket = b.as_py()
+            keys.append(np.frombuffer(k.as_buffer(), U).copy())
+            nodes.append(np.frombuffer(v.as_buffer(), np.int64).copy())
+        if count > 1 << 18:
+            yield from flush()
+            count = 0
+        pa.default_memory_pool().release_unused()
+    if keys:
+        out.append(close())
+    if out:
+        yield from flush()
 
 
 def _sets_of_members(batches, n: int):
@@ -346,7 +401,7 @@ def _linked_members(batches, num: int, den: int):
         yield flush()
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = 6_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: see the module for the method and the defined cases.
 
     n words to a shingle and a similarity of num/den or more make a link; component_id is the
@@ -355,34 +410,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     ship_package(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = parts * BUCKETS_PER_PARTITION
+    buckets = max(parts * BUCKETS_PER_PARTITION, LEAST_BUCKETS)
     # no column of docs but these two goes on, whatever the others are called
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets), "bucket int, doc_id long, n long, f1 long, f2 long, ks binary, vs binary")
-    found = cut(blobs.repartition(parts, "bucket").mapInArrow(_stars, "doc_id long, n long, f1 long, f2 long, other long"))
+    blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets), PAIRS)
+    found = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "doc_id long, n long, f1 long, f2 long, other long"))
     rows = found.where("other is null").select("doc_id", "n", "f1", "f2")
     blocks = connected_components(found.where("other is not null"), "f1", "other")
 
     same = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    sized = same.join(blocks, same.f1 == blocks.node).select("rep", "f1", "f2", "n", F.col("label").alias("block"))
-    sized = cut(sized)
-    total = sized.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks"), F.count("*").alias("members"))
-    members = cut(sized.join(total.where("members > 1"), "block").select("rep", "f1", "f2", "block", "chunks"))
-    near = members.count()
-    side = F.broadcast(members) if near <= BROADCAST_ROWS else members
-    joined = base.join(side, base.doc_id == side.rep).select("doc_id", "text", "f1", "f2", "block", "chunks")
+    members = cut(same.join(blocks, same.f1 == blocks.node).select("rep", "f1", "f2", "n", F.col("label").alias("block")))
+    large = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks")).where("chunks > 1")
+    side = members.join(large, "block", "left").select("rep", "f1", "f2", "block", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    joined = base.join(F.broadcast(side) if members.count() <= BROADCAST_ROWS else side, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "f1", "f2", "block", "chunks")
     sets = joined.mapInArrow(lambda it: _sets_of_members(it, n), "block long, a int, b int, doc_id long, elements binary")
     links = sets.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(lambda it: _linked_members(it, num, den), "doc_id long, label long")
     merged = connected_components(links, "doc_id", "label")
 
-    known = same.join(merged, same.rep == merged.node, "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
+    linked = members.join(merged, members.rep == merged.node).select("f1", "f2", "label")
+    known = same.join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
     out = rows.join(known, ["f1", "f2"], "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; all columns stay. Rows with a null id stay."""
+    """The rows of docs without those whose component has a smaller doc_id; all columns stay, whatever their names.
+
+    Rows with a null id stay. Rows that share a doc_id share a fate: all go where one of them has a smaller partner.
+    """
     found = jaccard_components(docs, id_col=id_col, **options)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
