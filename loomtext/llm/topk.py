@@ -6,19 +6,24 @@ group a candidate stays for a query only if its sum so far plus the largest poss
 product of both remaining norms) can reach the query's k-th best lower bound, and the survivors are
 compacted before the next group. Groups are ordered by falling mass, so bounds tighten early.
 
-Blocks of queries meet blocks of candidates one to one on a shared block number; each meeting gives
-at most k rows for each query, and a ranking over those gives the result. Neither side is broadcast.
+Blocks of queries meet blocks of candidates on the pair of their numbers, so every meeting can be a
+task of its own; each gives at most k rows for each query, and a ranking over those gives the
+result. Neither side is broadcast. Sums are doubles where every partial sum of a meeting stays below
+2^53, else 64-bit integers, else integers without a bound: scores are exact and ranked exactly. A
+score outside the range of long is shown as the nearest long.
 
 Defined cases: vectors that are null, or hold null or non-finite components, or whose id is null
 take no part; a candidate with the query's own id is never returned; shorter vectors count as padded
 with zeros; ties go to the smaller id; fewer candidates than k give fewer rows; repeated ids are
-candidates each (the query of a repeated id is its first vector in order); empty tables give empty results.
+candidates each (the query of a repeated id is its least vector in order); empty tables give empty results;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,107 +32,137 @@ from loomtext.session import ship_package
 GROUP = 16
 
 
-def blocks_of(table: DataFrame, rows: int, prefix: str, wide: int) -> DataFrame:
-    """Packs the rows (id, v) of a table into blocks: (block, ids, vertical values)."""
+#: Queries searched at a time within a meeting.
+TILE = 64
 
-    def pack(batches):
-        ids, vs = [], []
 
-        def block():
-            i = np.concatenate(ids)
-            v = np.concatenate(vs)
-            ids.clear(), vs.clear()
-            return i, v
+def whole(v: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * v) as doubles; as Python integers where a product has no finite double."""
+    with np.errstate(over="ignore"):
+        out = np.floor(v * scale)
+    if np.isfinite(out).all():
+        return out
+    return np.array([[int(x) * int(scale) if abs(x) > 1e300 else int(np.floor(x * scale)) for x in r] for r in v], object).reshape(v.shape)
 
-        def rows_of(i, v):
-            for a in range(0, len(i), rows):
-                yield i[a : a + rows].tobytes(), np.ascontiguousarray(v[a : a + rows].T).tobytes()
 
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_values"])
+def doubles(m: np.ndarray) -> np.ndarray:
+    """The nearest doubles, infinite where none is near."""
+    if m.dtype != object:
+        return m.astype(np.float64)
+    near = [float(x) if -(1 << 1023) < x < 1 << 1023 else np.inf * (1 if x > 0 else -1) for x in m.ravel()]
+    return np.array(near, np.float64).reshape(m.shape)
 
-        for batch in batches:
-            lists = batch.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            dense = np.zeros((batch.num_rows, wide))
-            dense[np.arange(wide)[None] < size[:, None]] = flat
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-            vs.append(dense)
+
+def packed(batches, rows: int, wide: int, numbers):
+    """Packs rows (id, v[, number]) into blocks (number, ids, vertical values); numbers gives the next block's where there is no third column."""
+    number, ids, vs = None, [], []
+
+    def block():
+        i, v = np.concatenate(ids), np.concatenate(vs)
+        ids.clear(), vs.clear()
+        parts = [(i[a : a + rows], v[a : a + rows]) for a in range(0, len(i), rows)]
+        at = [number if number is not None else numbers() for _ in parts]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x, _ in parts], pa.binary()), pa.array([np.ascontiguousarray(y.T).tobytes() for _, y in parts], pa.binary())], names=["number", "ids", "values"])
+
+    for batch in batches:
+        lists = batch.column(1)
+        dense = np.zeros((batch.num_rows, wide))
+        dense[np.arange(wide)[None] < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        own = batch.column(0).to_numpy(zero_copy_only=False)
+        if batch.num_columns == 2:
+            ids.append(own), vs.append(dense)
             if sum(map(len, ids)) >= rows:
-                yield batch_of(list(rows_of(*block())))
-        if ids:
-            yield batch_of(list(rows_of(*block())))
-
-    return table.mapInArrow(pack, f"{prefix}_ids binary, {prefix}_values binary")
-
-
-def search_block(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, score) of the k best of each query; q and c are vertical (components x rows)."""
-    mass = (c * c).sum(1)
-    order = np.argsort(-mass, kind="stable")
-    groups = [order[a : a + GROUP] for a in range(0, len(order), GROUP)]
-    rest_c = np.zeros((len(groups) + 1, c.shape[1]))
-    rest_q = np.zeros((len(groups) + 1, q.shape[1]))
-    for g in reversed(range(len(groups))):
-        rest_c[g] = rest_c[g + 1] + (c[groups[g]] ** 2).sum(0)
-        rest_q[g] = rest_q[g + 1] + (q[groups[g]] ** 2).sum(0)
+                yield block()
+            continue
+        of = batch.column(2).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if of[a] != number and ids:
+                yield block()
+            number = int(of[a])
+            ids.append(own[a:b]), vs.append(dense[a:b])
+    if ids:
+        yield block()
+
+
+def search_block(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best of each query; q and c are vertical (components x rows) and hold whole numbers."""
+    wide = len(q)
+    top = lambda m: max((abs(int(x)) for x in (m.min(initial=0), m.max(initial=0))), default=0)
+    most = top(q) * top(c) * max(wide, 1)
+    kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+    qf, cf = doubles(q), doubles(c)
+    if kind is object:
+        q, c = (np.vectorize(int, otypes=[object])(m) if m.size else m.astype(object) for m in (q, c))
+    else:
+        q, c = q.astype(kind), c.astype(kind)
+    with np.errstate(over="ignore"):
+        order = np.argsort(-(cf * cf).sum(1), kind="stable")
+        groups = [order[a : a + GROUP] for a in range(0, wide, GROUP)]
+        rest_c, rest_q = np.zeros((len(groups) + 1, c.shape[1])), np.zeros((len(groups) + 1, q.shape[1]))
+        for g in reversed(range(len(groups))):
+            rest_c[g] = rest_c[g + 1] + (cf[groups[g]] ** 2).sum(0)
+            rest_q[g] = rest_q[g + 1] + (qf[groups[g]] ** 2).sum(0)
     rest_c, rest_q = np.sqrt(rest_c), np.sqrt(rest_q)
-    first = q[groups[0]].T @ c[groups[0]] if groups else np.zeros((q.shape[1], c.shape[1]))
     tiles = [np.ascontiguousarray(c[g].T) for g in groups]
     out = []
-    for i in range(q.shape[1]):
-        alive = np.flatnonzero(cid != qid[i])
-        if not len(alive):
-            continue
-        sums = first[i][alive]
-        for g in range(1, len(groups) + 1):
-            spare = rest_q[g, i] * rest_c[g, alive] * (1 + 1e-9) + 1e-6  # rounding can only keep more
-            if len(alive) > k:
-                low = np.partition(sums - spare, len(alive) - k)[len(alive) - k]
-                stay = sums + spare >= low
-                alive, sums = alive[stay], sums[stay]
-            if g < len(groups):
-                sums = sums + tiles[g][alive] @ q[groups[g], i]
-        best = np.lexsort((cid[alive], -sums))[:k]
-        out += [(int(qid[i]), int(cid[alive[b]]), int(sums[b])) for b in best]
+    for at in range(0, q.shape[1], TILE):
+        first = q[groups[0], at : at + TILE].T @ c[groups[0]] if groups else np.zeros((min(TILE, q.shape[1] - at), c.shape[1]), kind)
+        for i in range(at, min(at + TILE, q.shape[1])):
+            alive = np.flatnonzero(cid != qid[i])
+            if not len(alive):
+                continue
+            sums = first[i - at][alive]
+            for g in range(1, len(groups) + 1):
+                near = doubles(sums)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    spare = np.nan_to_num(rest_q[g, i] * rest_c[g, alive] * (1 + 1e-9) + np.abs(near) * 1e-12 + 1e-6, nan=np.inf, posinf=np.inf)  # rounding can only keep more
+                    if len(alive) > k:
+                        least = np.nan_to_num(near - spare, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                        stay = ~(near + spare < np.partition(least, len(alive) - k)[len(alive) - k])
+                        alive, sums = alive[stay], sums[stay]
+                if g < len(groups):
+                    sums = sums + tiles[g][alive] @ q[groups[g], i]
+            scored = sorted(((-int(s), int(cid[a])) for s, a in zip(sums, alive, strict=True))) if kind is object else [(-int(sums[b]), int(cid[alive[b]])) for b in np.lexsort((cid[alive], -sums))[:k]]
+            out += [(int(qid[i]), v, -s) for s, v in scored[:k]]
     return out
 
 
-def top_inner_products(table: DataFrame, k: int = 5, modulus: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 1024, candidate_rows: int = 8192) -> DataFrame:
+def top_inner_products(table: DataFrame, k: int = 5, modulus: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 8192, candidate_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by modulus.
 
-    Components are floored after scaling; scores are sums of their products, exact while they stay
-    below 2^53.
+    Components are floored after scaling; scores are sums of their products.
     """
     spark = table.sparkSession
     ship_package(spark)
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & fine)
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    asked = rows.where(F.col("id") % modulus == 0)
-    n, wide = (lambda r: (r[0], r[1] or 0))(rows.agg(F.count_if(F.col("id") % modulus == 0), F.max(F.size("v"))).first())
-    count = max(1, -(-n // query_rows))
-    # each query id once; the block of a query comes from its place in the order of hashes within a bounded number of blocks
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    queries = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("members"))
-    packed = blocks_of(rows, candidate_rows, "c", wide).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    met = packed.join(queries, "block").select("c_ids", "c_values", "members")
+    every, n, wide = (lambda r: (r[0], r[1], r[2] or 0))(rows.agg(F.count("*"), F.count_if(F.col("id") % modulus == 0), F.max(F.size("v"))).first())
+    q_blocks, c_blocks = max(1, -(-n // query_rows)), max(1, -(-every // candidate_rows))
+    block = "number int, ids binary, values binary"
+
+    def candidates(batches):
+        seq = iter(range(TaskContext.get().partitionId() * 7919, 1 << 62))
+        return packed(batches, candidate_rows, wide, lambda: next(seq) % c_blocks)
+
+    # each query id once; a query's block comes from its hash
+    asked = rows.where(F.col("id") % modulus == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("number", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+    asked = asked.repartition("number").sortWithinPartitions("number", "id").mapInArrow(lambda it: packed(it, query_rows, wide, None), block)
+    c = rows.mapInArrow(candidates, block).select(F.col("number").alias("c"), F.col("ids").alias("c_ids"), F.col("values").alias("c_values"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
+    q = asked.select(F.col("number").alias("q"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c"))
+    met = c.join(q, ["q", "c"]).select("c_ids", "c_values", "q_ids", "q_values")
 
     def search(batches):
+        low, high = -(1 << 63), (1 << 63) - 1
         for batch in batches:
             for r in range(batch.num_rows):
-                cid = np.frombuffer(batch.column(0)[r].as_py(), np.int64)
-                c = np.frombuffer(batch.column(1)[r].as_py()).reshape(wide, len(cid))
-                members = batch.column(2)[r].as_py()
-                qid = np.array([m["id"] for m in members], np.int64)
-                q = np.zeros((wide, len(members)))
-                for i, m in enumerate(members):
-                    q[: len(m["v"]), i] = m["v"]
-                got = search_block(q, qid, c, cid, k)
-                cols = list(zip(*got, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                cid, qid = (np.frombuffer(batch.column(j)[r].as_buffer(), np.int64) for j in (0, 2))
+                cv, qv = (whole(np.frombuffer(batch.column(j)[r].as_buffer()).reshape(wide, len(i)), scale) for j, i in ((1, cid), (3, qid)))
+                got = search_block(qv, qid, cv, cid, k)
+                cols = [[x[0] for x in got], [x[1] for x in got], [min(max(x[2], low), high) for x in got], [f"{x[2] + (1 << 2200):0700x}" if not low < x[2] < high else None for x in got]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.string())], names=["query_id", "vec_id", "score", "wide"])
+
+    # wide: the order of scores that the nearest long can't tell apart
+    found = met.mapInArrow(search, "query_id long, vec_id long, score long, wide string")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("wide").desc_nulls_last(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
