@@ -6,10 +6,12 @@ loss of every bit against its codeword, weighted by how well the bit's classifie
 rows, and takes the least. A decision whose two best languages are closer than ``margin`` in loss is
 marked ambiguous.
 
-Fitting uses at most ``per_class`` rows of each language (by hash of the id, the first ``max_chars``
-characters); prediction reads whole texts. Defined cases: null text or a text without a letter: und,
+Fitting uses at most ``per_class`` rows of each language (by hash of the id, within ``labelled``'s
+bounds on rows and bytes, whole texts). Defined cases: null text or a text without a letter: und,
 score 0, not ambiguous; no labelled rows at all: und everywhere; one language: that one, score 1;
-ties go to the language that is first in order; repeated rows and extra columns change nothing.
+ties go to the language that is first in order; repeated rows: an id counts once in fitting, and each
+of its rows is predicted; very long texts: read whole, in their own slice; empty tables: no rows;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.labelled import held_out, sample_texts
+from loomtext.llm.labelled import held_out, known_labels, sample_texts
 from loomtext.llm.vectext import U, lowered, mix, slices
-from loomtext.session import ship_package
+from loomtext.session import cut, ship_package
 
 BITS = 13
 DIM = 1 << BITS
@@ -125,10 +127,9 @@ def fit(rows: list[tuple[str, str]], steps: int = 120) -> CodeModel:
     return CodeModel(langs, code, weights, bias, trust / trust.mean())
 
 
-def learn(docs: DataFrame, per_class: int = 400, max_chars: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CodeModel:
+def learn(docs: DataFrame, per_class: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CodeModel:
     """Fits on at most per_class rows of each language that are not held out."""
-    base = docs.select(id_col, text_col, lang_col)
-    return fit(sample_texts(base.drop(lang_col), base.select(id_col, lang_col), lang_col, per_class, max_chars, id_col, text_col))
+    return fit(sample_texts(docs, cut(known_labels(docs, lang_col, id_col, "string")), per_class, id_col=id_col, text_col=text_col))
 
 
 def predict(docs: DataFrame, model: CodeModel, margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

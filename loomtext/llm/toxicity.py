@@ -5,11 +5,13 @@ words, so that inflected forms share a weight), pairs of neighbours, and pairs w
 between them. Each coordinate has its own learning rate, and the L1 term leaves most weights
 at zero, so the model that goes to the executors is a short list of slots and weights.
 
-Fitting uses at most ``per_class`` rows of each label (by hash of the id, their first ``max_chars``
-characters); the intercept is then moved to the shares of the labels over all labelled rows.
-Scoring reads whole texts. Defined cases: null or empty text: the score of a text without features;
-no labelled rows: 0 everywhere; labels of one kind only: that label's share; repeated rows and extra
-columns change nothing.
+Fitting uses at most ``per_class`` rows of each label (by hash of the id, within ``labelled``'s
+bounds on rows and bytes, whole texts); the intercept is then moved to the shares of the labels over
+all labelled ids. Defined cases: null or empty text: the score of a text without features; no
+labelled rows: 0 everywhere; labels of one kind only: that label's share; repeated rows: an id counts
+once in fitting, and each of its rows is scored; very long texts: read whole, in their own slice;
+ties: equal texts have equal scores, a score equal to the threshold predicts 1; empty tables: no
+rows; extra columns, whatever their names, are ignored, and pass through ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.labelled import held_out, sample_texts
+from loomtext.llm.labelled import held_out, known_labels, sample_texts
 from loomtext.llm.vectext import U, lowered, mix, slices, span_hashes, spans
-from loomtext.session import ship_package
+from loomtext.session import cut, ship_package
 
 BITS = 20
 SLOTS = 1 << BITS
@@ -109,12 +111,11 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = 4) -> SparseMod
     return SparseModel(used, w[used].astype(np.float32), float(w[SLOTS]) + odds(share) - odds(ones / len(rows)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> SparseModel:
-    """Fits on at most per_class labelled rows of each value that are not held out."""
-    seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out("doc_id"))
-    share = seen.agg(F.avg("y")).first()[0]
-    rows = sample_texts(docs.select(id_col, text_col), seen.withColumnRenamed("doc_id", id_col), "y", per_class, max_chars, id_col, text_col)
-    return fit(rows, share or 0.0)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> SparseModel:
+    """Fits on at most per_class labelled ids of each value that are not held out."""
+    known = cut(known_labels(labels, label, id_col, "int").where(F.col("y").isin(0, 1)))
+    share = known.agg(F.avg("y")).first()[0]
+    return fit(sample_texts(docs, known, per_class, id_col=id_col, text_col=text_col), share or 0.0)
 
 
 def score(docs: DataFrame, model: SparseModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
