@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.components import connected_components
 from loomtext.llm.vectext import SPACE, U, lowered, mix, shingles, slices, span_hashes, spans
-from loomtext.session import cut, ship_package
+from loomtext.session import cut, ship_package, tidy
 
-#: Rows of block membership up to which they are broadcast (24 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 50_000
+#: Rows of block membership up to which they are broadcast (36 bytes each, 9 MB); beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 BUCKETS_PER_PARTITION = 4
 #: Buckets at least, so that the packed pairs of one task and bucket stay small (16 MB over this).
 LEAST_BUCKETS = 4096
@@ -401,7 +401,7 @@ def _linked_members(batches, num: int, den: int):
         yield flush()
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: see the module for the method and the defined cases.
 
     n words to a shingle and a similarity of num/den or more make a link; component_id is the
@@ -415,6 +415,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets), PAIRS)
     found = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "doc_id long, n long, f1 long, f2 long, other long"))
+    del blobs
+    tidy(spark)  # the keys are the largest thing on disk, and done with
     rows = found.where("other is null").select("doc_id", "n", "f1", "f2")
     blocks = connected_components(found.where("other is not null"), "f1", "other")
 
@@ -427,6 +429,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     links = sets.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(lambda it: _linked_members(it, num, den), "doc_id long, label long")
     merged = connected_components(links, "doc_id", "label")
 
+    tidy(spark)
     linked = members.join(merged, members.rep == merged.node).select("f1", "f2", "label")
     known = same.join(linked, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
     out = rows.join(known, ["f1", "f2"], "left")
