@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -49,3 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of steps that nothing refers to any more: its cleaner acts when the JVM collects garbage, which a driver with little to do puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it lies in fewer partitions than there are cores: a small input only, large ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
