@@ -1,102 +1,169 @@
-"""Pairwise text similarity with passage evidence, over a table (pair_id, source, candidate)."""
+"""Pairwise text similarity with passage evidence, over a table of pairs.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from loomtext.functions.text import char_grams, rounded, word_grams, words
-from loomtext.operators.segments import segments, token_windows
-from loomtext.session import cut
-
-EVIDENCE, NEAR, LOW, HIGH = 0.30, 0.72, 0.36, 0.64
+A pair is scored inside its own row: both texts become sparse counts once, and all segments of one
+side meet all segments of the other as one sparse matrix product. Nothing is exploded and nothing
+is shuffled, so a plan over pairs is one Arrow stage after whatever made the pairs.
 
+Defined cases: a pair with a null side, or with fewer than three words on a side, is invalid: it has
+no row (``strict`` makes it an error); a repeated pair_id is scored once for each row.
+"""
 
-def counts(rows: DataFrame, keys: list[str], grams: Column) -> DataFrame:
-    return rows.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("cnt"))
+from __future__ import annotations
 
+from dataclasses import dataclass
 
-def sparse_cosine(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str], name: str) -> DataFrame:
-    """Cosine of the gram counts of a and b within a pair; combinations without a common gram have no row."""
-    norm = lambda t, keys, n: t.groupBy("pair_id", *keys).agg(F.sum(F.col("cnt") * F.col("cnt")).alias(n))
-    dot = a.withColumnRenamed("cnt", "a_cnt").join(b.withColumnRenamed("cnt", "b_cnt"), ["pair_id", "gram"]).groupBy("pair_id", *a_keys, *b_keys).agg(F.sum(F.col("a_cnt") * F.col("b_cnt")).alias("dot"))
-    both = dot.join(norm(a, a_keys, "a_sq"), ["pair_id", *a_keys]).join(norm(b, b_keys, "b_sq"), ["pair_id", *b_keys])
-    return both.select("pair_id", *a_keys, *b_keys, (F.col("dot") / (F.sqrt("a_sq") * F.sqrt("b_sq"))).alias(name))
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from loomtext.functions import features
+from loomtext.session import ship_package, spread
+
+METHOD = "pairwise_tfidf_style_v2"
+MATCH = "array<struct<source_text:string,candidate_text:string,source_start:long,source_end:long,candidate_start:long,candidate_end:long,similarity:double,match_type:string>>"
+RESULT = f"pair_id string, score double, verdict string, lexical double, chars double, containment double, coverage double, evidence {MATCH}, method string, error string"
+
+
+@dataclass(frozen=True)
+class Config:
+    """The decision policy. Thresholds, limits and weights as they must be for equal results."""
+
+    review_threshold: float = 0.36
+    high_overlap_threshold: float = 0.64
+    evidence_threshold: float = 0.30
+    max_evidence: int = 8
+    min_document_tokens: int = 3
+    min_segment_tokens: int = 4
+    max_segment_tokens: int = 80
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.review_threshold < self.high_overlap_threshold <= 1:
+            raise ValueError("0 <= review < high <= 1 must hold")
+        if not 0 <= self.evidence_threshold <= 1:
+            raise ValueError("evidence_threshold must lie in 0 to 1")
+        if self.max_evidence < 1:
+            raise ValueError("max_evidence must be at least 1")
+
+
+NEAR_VERBATIM = 0.72
+SEGMENT_WEIGHTS = (0.55, 0.30, 0.15)
+GLOBAL_WEIGHTS = (0.68, 0.32)
+EVIDENCE_WEIGHTS = (0.72, 0.28)
+
+
+def clamp(x: float) -> float:
+    return max(0.0, min(1.0, x))
+
+
+def best_segments(source: str, candidate: str, config: Config) -> list[dict]:
+    """For each candidate segment its best source segment from the evidence threshold on, the earliest of equal ones."""
+    s, c = (features.segments(t, config.min_segment_tokens, config.max_segment_tokens) for t in (source, candidate))
+    if not s or not c:
+        return []
+    coder = features.Coder()
+    (sw, sl), (cw, cl) = coder.word_bags([x.words for x in s]), coder.word_bags([x.words for x in c])
+    sc, cc = coder.char_bags([[x.text for x in s], [x.text for x in c]])
+    a, b, d = SEGMENT_WEIGHTS
+    score = np.clip(a * features.cosines(sw, cw) + b * features.cosines(sc, cc) + d * features.containments(sl, cl), 0.0, 1.0)
+    best = score.argmax(0)
+    out = []
+    for j, i in enumerate(best):
+        found = float(score[i, j])
+        if found >= config.evidence_threshold:
+            kind = "exact" if s[i].words == c[j].words else "near_verbatim" if found >= NEAR_VERBATIM else "lexical"
+            out.append({"source_text": s[i].text, "candidate_text": c[j].text, "source_start": s[i].start, "source_end": s[i].end, "candidate_start": c[j].start, "candidate_end": c[j].end, "similarity": round(found, 4), "match_type": kind})
+    return out
+
+
+def select_evidence(matches: list[dict], limit: int) -> list[dict]:
+    """Matches by falling similarity, each only if no better one overlaps it on the candidate's side."""
+    taken: list[dict] = []
+    for m in sorted(matches, key=lambda m: (-m["similarity"], m["candidate_start"], m["source_start"])):
+        if len(taken) < limit and all(m["candidate_end"] <= t["candidate_start"] or t["candidate_end"] <= m["candidate_start"] for t in taken):
+            taken.append(m)
+    return taken
+
+
+def whole_similarities(source: str, candidate: str) -> tuple[float, float, float]:
+    """(lexical, character, containment) of two whole texts."""
+    coder = features.Coder()
+    (sw, sl), (cw, cl) = coder.word_bags([features.words(source)]), coder.word_bags([features.words(candidate)])
+    sc, cc = coder.char_bags([[source], [candidate]])
+    return float(features.cosines(sw, cw)[0, 0]), float(features.cosines(sc, cc)[0, 0]), float(features.containments(sl, cl)[0, 0])
+
+
+def invalid(source: str | None, candidate: str | None, config: Config) -> str | None:
+    """Why a pair can't be scored."""
+    if source is None or candidate is None:
+        return "source and candidate must be strings"
+    if not source.strip() or not candidate.strip():
+        return "source and candidate must not be empty"
+    if min(len(features.words(source)), len(features.words(candidate))) < config.min_document_tokens:
+        return f"each document must contain at least {config.min_document_tokens} words"
+    return None
+
+
+def score_pair(source: str | None, candidate: str | None, config: Config) -> dict:
+    if error := invalid(source, candidate, config):
+        return {"error": error}
+    lexical, chars, contained = whole_similarities(source, candidate)
+    proof = select_evidence(best_segments(source, candidate, config), config.max_evidence)
+    own = {w for w in features.words(candidate) if len(w) > 2}
+    hit = {w for m in proof for w in features.words(m["candidate_text"]) if len(w) > 2}
+    coverage = len(hit) / len(own) if own else 0.0
+    best = proof[0]["similarity"] if proof else 0.0
+    score = clamp(max(GLOBAL_WEIGHTS[0] * lexical + GLOBAL_WEIGHTS[1] * chars, EVIDENCE_WEIGHTS[0] * best + EVIDENCE_WEIGHTS[1] * coverage))
+    verdict = "high_overlap" if score >= config.high_overlap_threshold else "review_recommended" if score >= config.review_threshold else "low_overlap"
+    four = lambda x: round(clamp(x), 4)
+    return {"score": four(score), "verdict": verdict, "lexical": four(lexical), "chars": four(chars), "containment": four(contained), "coverage": four(coverage), "evidence": proof, "method": METHOD}
+
+
+def _rowwise(pairs: DataFrame, one, schema: str) -> DataFrame:
+    """one(pair_id, source, candidate) gives the row of each pair as a dict, or None for no row."""
+    ship_package(pairs.sparkSession)
+    base = pairs.select(F.col("pair_id").cast("string").alias("pair_id"), F.col("source").cast("string").alias("source"), F.col("candidate").cast("string").alias("candidate"))
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for p, s, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if (r := one(p, s, c)) is not None]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return spread(base).mapInArrow(run, schema)
+
+
+def analyze_all(pairs: DataFrame, config: Config = Config()) -> DataFrame:
+    """Every pair's result, with the reason in ``error`` where it is invalid."""
+    return _rowwise(pairs, lambda p, s, c: {"pair_id": p, **score_pair(s, c, config)}, RESULT)
+
+
+def analyze(pairs: DataFrame, config: Config = Config(), strict: bool = False) -> DataFrame:
+    """pair_id, score, verdict, lexical, chars, containment, coverage, evidence, method of every valid pair."""
+    found = analyze_all(pairs, config)
+    if strict:
+        return found.withColumn("pair_id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("pair_id"), F.lit(": "), F.col("error"))).cast("string")).otherwise(F.col("pair_id"))).drop("error")
+    return found.where("error is null").drop("error")
 
 
-def contained(s: DataFrame, c: DataFrame, s_keys: list[str], c_keys: list[str]) -> DataFrame:
-    """Share of the candidate's tokens of over two characters that the source holds, with multiplicity."""
-    total = c.groupBy("pair_id", *c_keys).agg(F.sum("cnt").alias("total"))
-    common = c.withColumnRenamed("cnt", "c_cnt").join(s.withColumnRenamed("cnt", "s_cnt"), ["pair_id", "gram"]).groupBy("pair_id", *s_keys, *c_keys).agg(F.sum(F.least("c_cnt", "s_cnt")).alias("common"))
-    return common.join(total, ["pair_id", *c_keys]).select("pair_id", *s_keys, *c_keys, (F.col("common") / F.col("total")).alias("containment"))
+def similarities(pairs: DataFrame) -> DataFrame:
+    """pair_id, lexical, chars, containment of whole texts, unrounded; null sides count as empty texts."""
 
+    def one(p, s, c):
+        return dict(zip(("pair_id", "lexical", "chars", "containment"), (p, *whole_similarities(s or "", c or "")), strict=True))
 
-def long_words(text: Column) -> Column:
-    return F.filter(words(text), lambda t: F.length(t) > 2)
+    return _rowwise(pairs, one, "pair_id string, lexical double, chars double, containment double")
 
 
-def valid(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sides have three words or more."""
-    return pairs.where((F.size(words(F.col("source"))) >= 3) & (F.size(words(F.col("candidate"))) >= 3))
+def best_matches(pairs: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row for each candidate segment of a valid pair that reaches the evidence threshold, with its best source segment."""
+    made = _rowwise(pairs, lambda p, s, c: None if invalid(s, c, config) else {"pair_id": p, "m": best_segments(s, c, config)}, f"pair_id string, m {MATCH}")
+    return made.select("pair_id", F.explode("m").alias("m")).select("pair_id", "m.*")
 
 
-def similarities(pairs: DataFrame) -> DataFrame:
-    """pair_id, lexical, chars, containment of whole texts; 0 where nothing is shared."""
-    side = lambda c, g: counts(pairs, ["pair_id"], g(F.col(c)))
-    grams = lambda x: word_grams(words(x))
-    lex = sparse_cosine(side("source", grams), side("candidate", grams), [], [], "lexical")
-    chars = sparse_cosine(side("source", char_grams), side("candidate", char_grams), [], [], "chars")
-    cont = contained(side("source", long_words), side("candidate", long_words), [], [])
-    out = pairs.select("pair_id").join(lex, "pair_id", "left").join(chars, "pair_id", "left").join(cont, "pair_id", "left")
-    return out.na.fill(0.0, ["lexical", "chars", "containment"])
-
-
-def bounded_segments(pairs: DataFrame, col: str, max_tokens: int = 80) -> DataFrame:
-    """pair_id, start, end, segment of one side; segments over max_tokens become half-overlapping windows."""
-    found = segments(pairs.select("pair_id", F.col(col).alias("text")), ["pair_id"])
-    short = found.where(F.col("n_tokens") <= max_tokens).select("pair_id", "start", "end", "segment")
-    long = found.where(F.col("n_tokens") > max_tokens).select("pair_id", F.col("start").alias("base"), "segment")
-    parts = token_windows(long, ["pair_id", "base", "segment"], "segment", max_tokens, max(1, max_tokens // 2))
-    return short.unionByName(parts.select("pair_id", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), F.expr("substring(segment, int(start) + 1, int(end - start))").alias("segment")))
-
-
-def best_matches(pairs: DataFrame) -> DataFrame:
-    """For each candidate segment its best source segment from the evidence threshold on; the earliest wins ties."""
-    side = lambda col, p: bounded_segments(pairs, col).select("pair_id", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("segment").alias(f"{p}_text"))
-    s, c = cut(side("source", "s")), cut(side("candidate", "c"))  # each is read five times
-    sk, ck = ["s_start", "s_end"], ["c_start", "c_end"]
-    grams = lambda t, keys, col, g: counts(t, ["pair_id", *keys], g(F.col(col)))
-    lexical = lambda x: word_grams(words(x))
-    lex = sparse_cosine(grams(s, sk, "s_text", lexical), grams(c, ck, "c_text", lexical), sk, ck, "lex")
-    chars = sparse_cosine(grams(s, sk, "s_text", char_grams), grams(c, ck, "c_text", char_grams), sk, ck, "chr")
-    cont = contained(grams(s, sk, "s_text", long_words), grams(c, ck, "c_text", long_words), sk, ck)
-    keys = ["pair_id", *sk, *ck]
-    zero = F.lit(0.0)
-    score = 0.55 * F.coalesce("lex", zero) + 0.30 * F.coalesce("chr", zero) + 0.15 * F.coalesce("containment", zero)
-    scored = chars.join(lex, keys, "full").join(cont, keys, "full").select(*keys, F.least(F.lit(1.0), score).alias("score")).where(F.col("score") >= EVIDENCE)
-    w = Window.partitionBy("pair_id", *ck).orderBy(F.desc("score"), "s_start")
-    best = scored.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    return best.join(s, ["pair_id", *sk]).join(c, ["pair_id", *ck])
-
-
-def evidence(matches: DataFrame, limit: int = 8) -> DataFrame:
-    """pair_id, evidence: matches taken greedily by falling similarity while the candidate side overlaps no taken one."""
-    kind = F.when(words(F.col("s_text")) == words(F.col("c_text")), "exact").when(F.col("score") >= NEAR, "near_verbatim").otherwise("lexical")
-    item = F.struct((-rounded(F.col("score"), 4)).alias("order"), F.col("c_start"), F.col("s_start"), F.col("c_end"), F.col("s_end"), kind.alias("kind"), F.col("c_text"))
-    per = matches.groupBy("pair_id").agg(F.sort_array(F.collect_list(item)).alias("found"))
-    clash = "exists(acc, t -> (t.c_start < m.c_end and m.c_start < t.c_end))"
-    return per.withColumn("evidence", F.expr(f"aggregate(found, slice(found, 1, 0), (acc, m) -> if(size(acc) >= {limit} or {clash}, acc, concat(acc, array(m))))")).drop("found")
-
-
-def analyze(pairs: DataFrame) -> DataFrame:
-    """pair_id, score, verdict, lexical, chars, coverage, best, n_evidence of every valid pair."""
-    pairs = cut(valid(pairs))
-    proof = cut(evidence(best_matches(pairs)))
-    rows = pairs.join(similarities(pairs), "pair_id").join(proof, "pair_id", "left")
-    own = F.array_distinct(long_words(F.col("candidate")))
-    hit = F.array_distinct(F.flatten(F.transform("evidence", lambda e: long_words(e["c_text"]))))
-    rows = rows.withColumn("coverage", F.when(F.size(own) > 0, F.coalesce(F.size(F.array_intersect(own, hit)) / F.size(own), F.lit(0.0))).otherwise(0.0))
-    rows = rows.withColumn("best", F.coalesce(-F.get("evidence", F.lit(0))["order"], F.lit(0.0)))
-    raw = F.least(F.lit(1.0), F.greatest(0.68 * F.col("lexical") + 0.32 * F.col("chars"), 0.72 * F.col("best") + 0.28 * F.col("coverage"), F.lit(0.0)))
-    verdict = F.when(raw >= HIGH, "high_overlap").when(raw >= LOW, "review_recommended").otherwise("low_overlap")
-    return rows.select("pair_id", rounded(raw, 4).alias("score"), verdict.alias("verdict"), rounded(F.col("lexical"), 4).alias("lexical"), rounded(F.col("chars"), 4).alias("chars"), rounded(F.col("coverage"), 4).alias("coverage"), "best", F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("n_evidence"))
+def evidence(pairs: DataFrame, config: Config = Config()) -> DataFrame:
+    """pair_id, n (from 0, in order) and the fields of each selected match."""
+    return analyze(pairs, config).select("pair_id", F.posexplode("evidence").alias("n", "m")).select("pair_id", F.col("n").cast("long").alias("n"), "m.*")

@@ -27,18 +27,37 @@ def _confusion(key: str = "") -> str:
 SELECT {by} tp, fp, tn, fn, {_prf("tp", "fp", "fn")}, {R4.format("CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn)")} AS accuracy FROM c"""
 
 
-def _bm25(k: int) -> str:
-    return f"""dt AS (SELECT doc_id AS passage, {TERMS} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
+def _bm25(k: int, full: bool = True) -> str:
+    """Full rankings: every passage has a rank, those of score 0 too."""
+    return f"""dt AS MATERIALIZED (SELECT doc_id AS passage, {TERMS} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
 tf AS (SELECT passage, l, term, count(*) AS tf FROM (SELECT passage, len(t) AS l, unnest(t) AS term FROM dt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qt AS (SELECT item_id AS query, unnest(list_distinct({TERMS})) AS term FROM benchmark),
 sc AS (SELECT query, passage, {R.format("sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / greatest(a, 1.0::DOUBLE))))")} AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL),
-bm AS (SELECT query, passage, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM sc QUALIFY rank <= {k})"""
+al AS (SELECT item_id AS query, dt.passage, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN dt LEFT JOIN sc ON sc.query = item_id AND sc.passage = dt.passage),
+bm AS (SELECT query, passage, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM al QUALIFY rank <= {k})"""
 
 
-def _digest(grams: str) -> str:
-    return f"""WITH g AS (SELECT doc_id, unnest({grams}) AS g FROM (SELECT doc_id, {WORDS.format(NORMAL)} AS w, regexp_replace({NORMAL}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') AS f FROM documents)),
-c AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL)
-SELECT doc_id, count(*) AS n_distinct, CAST(sum(c) AS BIGINT) AS n_total, CAST(sum(c * c) AS BIGINT) AS sum_squares FROM c GROUP BY doc_id"""
+#: Counts of hashed character runs (md5) of a table with id and text, by bucket.
+def _buckets(name: str, table: str, key: str) -> str:
+    three, four, five = (f"list_transform(range(1, length(f) - {n - 2}), lambda i: substring(f, CAST(i AS INTEGER), {n}))" for n in (3, 4, 5))
+    runs = f"list_concat(list_concat({three}, {four}), {five})"
+    return f"""{name} AS MATERIALIZED (SELECT k, b, count(*) AS c FROM (SELECT k, CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT) % 256 AS b FROM (SELECT k, unnest({runs}) AS g FROM (SELECT {key} AS k, array_to_string({TERMS}, ' ') AS f FROM {table}))) GROUP BY ALL)"""
+
+
+_HYBRID = f"""{_bm25(1 << 40)}, {_buckets("db", "documents", "doc_id")}, {_buckets("qb", "benchmark", "item_id")},
+dn AS (SELECT k, sqrt(sum(c * c)) AS n FROM db GROUP BY k), qn AS (SELECT k, sqrt(sum(c * c)) AS n FROM qb GROUP BY k),
+dp AS (SELECT q.k AS query, d.k AS passage, sum(q.c * d.c) AS dot FROM qb q JOIN db d USING (b) GROUP BY ALL),
+ds AS (SELECT bm.query, bm.passage, bm.rank AS lexical_rank, row_number() OVER (PARTITION BY bm.query ORDER BY {R.format("coalesce(dot / (dn.n * qn.n), 0.0)")} DESC, bm.passage) AS dense_rank
+ FROM bm LEFT JOIN dp ON dp.query = bm.query AND dp.passage = bm.passage LEFT JOIN dn ON dn.k = bm.passage LEFT JOIN qn ON qn.k = bm.query),
+fu AS (SELECT *, floor((1.0::DOUBLE / (lexical_rank + 60) + 1.0::DOUBLE / (dense_rank + 60)) * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE AS score FROM ds),
+hy AS (SELECT query, passage, lexical_rank, dense_rank, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM fu QUALIFY rank <= 50)"""
+
+
+def _top(grams: str, order: str) -> str:
+    return f"""WITH g AS (SELECT doc_id, unnest({grams}) AS feature FROM (SELECT doc_id, {WORDS.format(NORMAL)} AS w, regexp_replace({NORMAL}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') AS f FROM documents)),
+c AS (SELECT doc_id, feature, count(*) AS cnt FROM g GROUP BY ALL),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, {order}feature) AS INTEGER) AS rank, count(*) OVER (PARTITION BY doc_id) AS n_distinct, CAST(sum(cnt * cnt) OVER (PARTITION BY doc_id) AS BIGINT) AS sum_squares FROM c)
+SELECT doc_id, rank, feature, cnt, n_distinct, sum_squares FROM t WHERE rank <= 5"""
 
 
 def _windows(name: str, key: str, size: int, step: int) -> str:
@@ -71,6 +90,93 @@ th AS (SELECT threshold, tp, fp, total - tp AS fn, {_prf("tp", "fp", "total - tp
 _SPLIT = f"""{SCORED}, g AS (SELECT "group", row_number() OVER (ORDER BY sha256('42:' || "group"), "group") AS r, count(*) OVER () AS n FROM (SELECT DISTINCT "group" FROM scored)),
 sp AS (SELECT scored.*, CASE WHEN r <= least(n - 1, greatest(1, round_even(n * 0.75, 0))) THEN 'calibration' ELSE 'test' END AS partition FROM scored JOIN g USING ("group"))"""
 
+
+def norm_of(text: str) -> str:
+    return NORMAL.replace("text", text)
+
+
+RE4 = "round_even(({}) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE"
+_WORD_TILE = r"[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+"
+_LONG = "list_filter({}, lambda x: length(x) > 2)"
+_WORD_GRAMS = "list_concat(list_transform({0}, lambda x: 'w:' || x), list_transform(range(1, len({0})), lambda i: 'b:' || {0}[i] || '_' || {0}[i + 1]))"
+
+
+def _flat(text: str) -> str:
+    return rf"regexp_replace({norm_of(text)}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g')"
+
+
+def _runs(f: str) -> str:
+    """Character runs of a column; of an expression, every lambda would compute it anew."""
+    three, four, five = (f"list_transform(range(1, length({f}) - {n - 2}), lambda i: substring({f}, CAST(i AS INTEGER), {n}))" for n in (3, 4, 5))
+    return f"list_concat(list_concat({three}, {four}), {five})"
+
+
+def _counts(name: str, table: str, key: str, grams: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT {key}, g, count(*) AS c FROM (SELECT {key}, unnest({grams}) AS g FROM {table}) GROUP BY ALL), {name}_n AS (SELECT {key}, sqrt(CAST(sum(c * c) AS DOUBLE)) AS n, sum(c) AS total FROM {name} GROUP BY {key})"
+
+
+def _cosine(name: str, a: str, b: str, a_key: str, b_key: str) -> str:
+    """Of the count tables a and b: joined by the gram, so only combinations with a common gram have a row."""
+    of = lambda t, keys: ", ".join(f"{t}.{k}" for k in keys.split(", "))
+    return f"""{name} AS MATERIALIZED (SELECT {a_key}, {b_key}, CAST(dot AS DOUBLE) / (x.n * y.n) AS v FROM (SELECT p.pair_id, {of("a", a_key)}, {of("b", b_key)}, sum(a.c * b.c) AS dot FROM pr p JOIN {a} a ON a.query = p.query JOIN {b} b ON b.passage = p.passage AND a.g = b.g GROUP BY ALL) JOIN {a}_n x USING ({a_key}) JOIN {b}_n y USING ({b_key}))"""
+
+
+def _segments(name: str, table: str, key: str) -> str:
+    """(key, start, end, seg, w) of the segments of a table (key, text), windows for those of over 80 words."""
+    return rf"""{name}_t AS (SELECT {key}, tile, pos, coalesce(sum(length(tile)) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM (SELECT {key}, unnest(t) AS tile, generate_subscripts(t, 1) AS pos FROM (SELECT {key}, regexp_extract_all(text, '{_SEGMENTS}') AS t FROM {table}))),
+{name}_k AS MATERIALIZED (SELECT {key}, CAST(st + length(tile) - length(regexp_replace(tile, '^\s+', '')) AS BIGINT) AS st, {_STRIP.format("tile")} AS seg, {WORDS.format(norm_of(_STRIP.format("tile")))} AS w FROM {name}_t WHERE tile <> chr(10) AND len(w) >= 4),
+{name}_l AS (SELECT {key}, st, seg, w, tile, pos, coalesce(sum(length(tile)) OVER (PARTITION BY {key}, st ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT {key}, st, seg, w, unnest(t) AS tile, generate_subscripts(t, 1) AS pos FROM (SELECT *, regexp_extract_all(seg, '{_WORD_TILE}') AS t FROM {name}_k WHERE len(w) > 80))),
+{name}_w AS (SELECT {key}, st, seg, w, s, i, n, coalesce(lead(e, 79) OVER (PARTITION BY {key}, st ORDER BY i), max(e) OVER (PARTITION BY {key}, st)) AS e FROM (SELECT {key}, st, seg, w, s, s + length(tile) AS e, row_number() OVER (PARTITION BY {key}, st ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY {key}, st) AS n FROM {name}_l WHERE regexp_matches(tile, '^[\p{{L}}\p{{N}}]'))),
+{name} AS MATERIALIZED (SELECT {key}, st AS "start", st + length(seg) AS "end", seg, w FROM {name}_k WHERE len(w) <= 80
+ UNION ALL SELECT {key}, CAST(st + s AS BIGINT), CAST(st + e AS BIGINT), substring(seg, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), list_slice(w, i + 1, i + 80) FROM {name}_w WHERE i % 40 = 0 AND (i = 0 OR i - 40 + 80 < n)
+ UNION ALL SELECT {key}, length(text) - length(regexp_replace(text, '^\s+', '')), length(text) - length(regexp_replace(text, '^\s+', '')) + length({_STRIP.format("text")}), {_STRIP.format("text")}, {WORDS.format(NORMAL)} FROM {table} WHERE {key} NOT IN (SELECT {key} FROM {name}_k) AND len({WORDS.format(NORMAL)}) > 0)"""
+
+
+_PAIRS = f"""{_bm25(3)}, pr AS MATERIALIZED (SELECT query || '-' || passage AS pair_id, query, passage FROM bm),
+src AS MATERIALIZED (SELECT item_id AS query, text FROM benchmark WHERE item_id IN (SELECT query FROM pr)), cnd AS MATERIALIZED (SELECT doc_id AS passage, text FROM documents WHERE doc_id IN (SELECT passage FROM pr))"""
+_WHOLE = f"""{_counts("sw", f"(SELECT query, {WORDS.format(NORMAL)} AS w FROM src)", "query", _WORD_GRAMS.format("w"))}, {_counts("cw", f"(SELECT passage, {WORDS.format(NORMAL)} AS w FROM cnd)", "passage", _WORD_GRAMS.format("w"))},
+{_counts("sh", f"(SELECT query, {_flat('text')} AS f FROM src)", "query", _runs("f"))}, {_counts("ch", f"(SELECT passage, {_flat('text')} AS f FROM cnd)", "passage", _runs("f"))},
+{_counts("sl", f"(SELECT query, {WORDS.format(NORMAL)} AS w FROM src)", "query", _LONG.format("w"))}, {_counts("cl", f"(SELECT passage, {WORDS.format(NORMAL)} AS w FROM cnd)", "passage", _LONG.format("w"))},
+{_cosine("xw", "sw", "cw", "query", "passage")}, {_cosine("xh", "sh", "ch", "query", "passage")},
+xl AS (SELECT query, passage, CAST(m AS DOUBLE) / total AS v FROM (SELECT p.query, p.passage, sum(least(a.c, b.c)) AS m FROM pr p JOIN sl a ON a.query = p.query JOIN cl b ON b.passage = p.passage AND a.g = b.g GROUP BY ALL) JOIN cl_n USING (passage)),
+sim AS MATERIALIZED (SELECT pair_id, query, passage, coalesce(xw.v, 0.0) AS lexical, coalesce(xh.v, 0.0) AS chars, coalesce(xl.v, 0.0) AS containment FROM pr LEFT JOIN xw USING (query, passage) LEFT JOIN xh USING (query, passage) LEFT JOIN xl USING (query, passage))"""
+
+
+def _seg_counts(p: str, table: str, key: str) -> str:
+    k = f"{key}, {p}i"
+    t = f"(SELECT *, start * 1000000 + \"end\" AS {p}i, {_flat('seg')} AS f FROM {table})"
+    return f"""{_counts(p + "w", t, k, _WORD_GRAMS.format("w"))}, {_counts(p + "h", t, k, _runs("f"))}, {_counts(p + "l", t, k, _LONG.format("w"))}"""
+
+
+_KEYS = "query, sgi, passage, cgi"
+_SEG_SCORES = f"""{_segments("sseg", "src", "query")}, {_segments("cseg", "cnd", "passage")}, {_seg_counts("sg", "sseg", "query")}, {_seg_counts("cg", "cseg", "passage")},
+{_cosine("gw", "sgw", "cgw", "query, sgi", "passage, cgi")}, {_cosine("gh", "sgh", "cgh", "query, sgi", "passage, cgi")},
+gl AS (SELECT {_KEYS}, CAST(m AS DOUBLE) / total AS v FROM (SELECT p.query, sgi, p.passage, cgi, sum(least(a.c, b.c)) AS m FROM pr p JOIN sgl a ON a.query = p.query JOIN cgl b ON b.passage = p.passage AND a.g = b.g GROUP BY ALL) JOIN cgl_n USING (passage, cgi)),
+ok AS MATERIALIZED (SELECT pair_id, pr.query, pr.passage FROM pr JOIN src USING (query) JOIN cnd USING (passage) WHERE len({WORDS.format(norm_of("src.text"))}) >= 3 AND len({WORDS.format(norm_of("cnd.text"))}) >= 3),
+sco AS MATERIALIZED (SELECT pair_id, query, sgi, passage, cgi, greatest(0.0, least(1.0, 0.55::DOUBLE * coalesce(gw.v, 0.0) + 0.30::DOUBLE * coalesce(gh.v, 0.0) + 0.15::DOUBLE * coalesce(gl.v, 0.0))) AS score FROM gh FULL JOIN gw USING ({_KEYS}) FULL JOIN gl USING ({_KEYS}) JOIN ok USING (query, passage)),
+bst AS MATERIALIZED (SELECT * FROM sco QUALIFY row_number() OVER (PARTITION BY pair_id, cgi ORDER BY score DESC, sgi) = 1 AND score >= 0.30),
+mat AS MATERIALIZED (SELECT pair_id, s."start" AS source_start, s."end" AS source_end, c."start" AS candidate_start, c."end" AS candidate_end, {RE4.format("score")} AS similarity,
+ CASE WHEN s.w = c.w THEN 'exact' WHEN score >= 0.72 THEN 'near_verbatim' ELSE 'lexical' END AS match_type, {WORDS.format(norm_of("c.seg"))} AS cw
+ FROM bst JOIN sseg s ON s.query = bst.query AND s."start" * 1000000 + s."end" = sgi JOIN cseg c ON c.passage = bst.passage AND c."start" * 1000000 + c."end" = cgi)"""
+_GREEDY = """ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY similarity DESC, candidate_start, source_start) AS r FROM mat),
+rec AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(r BIGINT, a BIGINT, b BIGINT)[]) AS taken FROM ord
+ UNION ALL SELECT o.pair_id, o.r, CASE WHEN len(taken) < 8 AND len(list_filter(taken, lambda t: o.candidate_start < t.b AND t.a < o.candidate_end)) = 0 THEN list_append(taken, {'r': o.r, 'a': o.candidate_start, 'b': o.candidate_end}) ELSE taken END FROM rec JOIN ord o ON o.pair_id = rec.pair_id AND o.r = rec.r + 1),
+sel AS (SELECT pair_id, unnest(list_transform(taken, lambda t: t.r)) AS r FROM rec QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY rec.r DESC) = 1),
+evi AS MATERIALIZED (SELECT ord.*, row_number() OVER (PARTITION BY ord.pair_id ORDER BY ord.r) - 1 AS n FROM ord JOIN sel ON sel.pair_id = ord.pair_id AND sel.r = ord.r)"""
+_ANALYSIS = f"""WITH RECURSIVE {_PAIRS}, {_WHOLE}, {_SEG_SCORES}, {_GREEDY},
+own AS MATERIALIZED (SELECT passage, list_distinct({_LONG.format(WORDS.format(NORMAL))}) AS own FROM cnd),
+hit AS MATERIALIZED (SELECT pair_id, list_distinct(flatten(list(list_filter(cw, lambda x: length(x) > 2)))) AS hit, count(*) AS n_evidence, max(similarity) AS best FROM evi GROUP BY pair_id),
+res AS (SELECT sim.*, coalesce(n_evidence, 0) AS n_evidence, coalesce(best, 0.0) AS best, CASE WHEN len(own) > 0 THEN coalesce(CAST(len(hit) AS DOUBLE) / len(own), 0.0) ELSE 0.0 END AS coverage FROM sim JOIN ok USING (pair_id) JOIN own ON own.passage = sim.passage LEFT JOIN hit USING (pair_id)),
+fin AS (SELECT *, greatest(0.0, least(1.0, greatest(0.68::DOUBLE * lexical + 0.32::DOUBLE * chars, 0.72::DOUBLE * best + 0.28::DOUBLE * coverage))) AS raw FROM res)
+SELECT pair_id, {RE4.format("raw")} AS score, CASE WHEN raw >= 0.64 THEN 'high_overlap' WHEN raw >= 0.36 THEN 'review_recommended' ELSE 'low_overlap' END AS verdict, {RE4.format("lexical")} AS lexical, {RE4.format("chars")} AS chars, {RE4.format("containment")} AS containment, {RE4.format("coverage")} AS coverage, n_evidence, 'pairwise_tfidf_style_v2' AS method FROM fin"""
+_RERANK = f"""WITH {_HYBRID}, hw AS (SELECT query, passage, fu_rank, lexical_rank, dense_rank, score FROM (SELECT *, rank AS fu_rank FROM hy)),
+{_counts("sw", f"(SELECT item_id AS query, {WORDS.format(NORMAL)} AS w FROM benchmark)", "query", _WORD_GRAMS.format("w"))}, {_counts("cw", f"(SELECT doc_id AS passage, {WORDS.format(NORMAL)} AS w FROM documents WHERE doc_id IN (SELECT passage FROM hy))", "passage", _WORD_GRAMS.format("w"))},
+pr AS (SELECT query || '-' || passage AS pair_id, query, passage FROM hy), {_cosine("xw", "sw", "cw", "query", "passage")},
+bl AS (SELECT hw.*, {R.format("coalesce(v, 0.0)")} AS again FROM hw LEFT JOIN xw USING (query, passage)),
+sc2 AS (SELECT *, CASE WHEN max(score) OVER q = min(score) OVER q THEN 1.0 ELSE (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) END AS x, CASE WHEN max(again) OVER q = min(again) OVER q THEN 1.0 ELSE (again - min(again) OVER q) / (max(again) OVER q - min(again) OVER q) END AS y FROM bl WINDOW q AS (PARTITION BY query)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {R.format("0.35::DOUBLE * x + 0.65::DOUBLE * y")} DESC, passage) AS rank FROM sc2)
+SELECT query, passage, lexical_rank, dense_rank, again AS reranker_score, rank, 'bm25+hashing-ngram-256-md5+lexical' AS method FROM rk WHERE rank <= 10"""
+
 ORACLES = {
     "token_counts": f"SELECT doc_id, CAST(len({WORDS.format(NORMAL)}) AS BIGINT) AS n_words, CAST(len({TERMS}) AS BIGINT) AS n_terms FROM documents",
     "normalized_hash_groups": rf"SELECT content_key, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(trim(regexp_replace({FOLD}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) AS content_key FROM documents) GROUP BY content_key",
@@ -81,17 +187,20 @@ w AS (SELECT doc_id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS
 SELECT * FROM k UNION ALL SELECT doc_id, start, start + length(seg), {_N} FROM w WHERE {_N} > 0""",
     "chunk_spans": f"""WITH {_tiles("doc_id", "documents", _TOKENS)}, {_windows("win", "doc_id", 120, 96)} SELECT doc_id || ':' || start || ':' || "end" AS passage_id, doc_id, start, "end" FROM win""",
     "segment_windows": f"""WITH {_tiles("item_id", "benchmark", _TOKENS)}, {_windows("win", "item_id", 16, 8)} SELECT item_id, start, "end" FROM win""",
-    "word_features": _digest("list_concat(list_transform(w, lambda x: 'w:' || x), list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1]))"),
-    "char_features": _digest("list_concat(list_concat(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3)), list_transform(range(1, length(f) - 2), lambda i: substring(f, i, 4))), list_transform(range(1, length(f) - 3), lambda i: substring(f, i, 5)))"),
+    "word_features": _top("list_concat(list_transform(w, lambda x: 'w:' || x), list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1]))", ""),
+    "char_features": _top("list_concat(list_concat(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3)), list_transform(range(1, length(f) - 2), lambda i: substring(f, i, 4))), list_transform(range(1, length(f) - 3), lambda i: substring(f, i, 5)))", "length(feature), "),
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TERMS})) AS term FROM documents) GROUP BY term",
     "corpus_stats": f"SELECT count(*) AS n, {R.format(f'avg(len({TERMS}))')} AS avg_len FROM documents",
     "bm25_topk": f"WITH {_bm25(10)} SELECT query, passage, score, rank FROM bm",
     "dense_topk": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query, c.vec_id AS passage, {R.format("list_cosine_similarity(q.v, c.v)")} AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query, passage, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM s QUALIFY rank <= 5""",
-    "rrf_hybrid": f"""WITH {_bm25(50)}, q AS (SELECT item_id AS query, list_distinct({TERMS}) AS q FROM benchmark), d AS (SELECT passage, list_distinct(t) AS d FROM dt),
-s AS (SELECT query, passage, rank AS lexical_rank, row_number() OVER (PARTITION BY query ORDER BY {R.format("CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q)")} DESC, passage) AS dense_rank FROM bm JOIN q USING (query) JOIN d USING (passage)),
-f AS (SELECT *, floor((1.0::DOUBLE / (lexical_rank + 60) + 1.0::DOUBLE / (dense_rank + 60)) * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE AS score FROM s)
-SELECT query, passage, lexical_rank, dense_rank, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM f QUALIFY rank <= 10""",
+    "rrf_hybrid": f"WITH {_HYBRID} SELECT query, passage, lexical_rank, dense_rank, score, rank FROM hy WHERE rank <= 10",
+    "hash_embed_md5": f"WITH {_buckets('db', 'documents', 'doc_id')} SELECT k AS doc_id, CAST(b AS INTEGER) AS bucket, {R.format('c / sqrt(sum(c * c) OVER (PARTITION BY k))')} AS weight FROM db",
+    "pair_similarities": f"WITH {_PAIRS}, {_WHOLE} SELECT pair_id, {R.format('lexical')} AS lexical, {R.format('chars')} AS chars, {R.format('containment')} AS containment FROM sim",
+    "segment_best_match": f"WITH {_PAIRS}, {_SEG_SCORES} SELECT pair_id, source_start, source_end, candidate_start, candidate_end, similarity, match_type FROM mat",
+    "evidence_spans": f"WITH RECURSIVE {_PAIRS}, {_SEG_SCORES}, {_GREEDY} SELECT pair_id, n, source_start, source_end, candidate_start, candidate_end, similarity, match_type FROM evi",
+    "retrieve_then_analyze": _ANALYSIS,
+    "rerank_blend": _RERANK,
     "group_split": f"""WITH {_SPLIT} SELECT partition, count(*) AS rows, count(DISTINCT "group") AS groups FROM sp GROUP BY partition""",
     "split_leakage": f"""WITH {_SPLIT}, x AS (SELECT "group", count(DISTINCT partition) AS n FROM sp GROUP BY "group") SELECT count(*) FILTER (n > 1) AS leaked_groups, count(*) AS groups FROM x""",
     "threshold_metrics": _confusion(),

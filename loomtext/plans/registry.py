@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import char_grams, content_key, fold, rounded, terms, word_grams, words
-from loomtext.operators import adversarial, corpus, evaluation, pairwise, retrieval, segments
+from loomtext.functions import features
+from loomtext.functions.text import content_key, fold, rounded, terms, words
+from loomtext.operators import adversarial, corpus, embedding, evaluation, pairwise, retrieval, segments
 from loomtext.plans.oracles import ORACLES
 from loomtext.session import cut
 
 
+#: Rows of (query, passage) up to which they are broadcast.
+PAIR_ROWS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,16 +55,12 @@ def segment_windows(spark, sf):
     return segments.token_windows(_items(spark, sf), ["item_id"], "text", 16, 8)
 
 
-def _digest(spark, sf, grams):
-    return _docs(spark, sf).select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_total"), F.sum(F.col("c") * F.col("c")).alias("sum_squares"))
-
-
 def word_features(spark, sf):
-    return _digest(spark, sf, word_grams(words(F.col("text"))))
+    return features.top_features(_docs(spark, sf), "words")
 
 
 def char_features(spark, sf):
-    return _digest(spark, sf, char_grams(F.col("text")))
+    return features.top_features(_docs(spark, sf), "characters")
 
 
 def document_frequency(spark, sf):
@@ -84,41 +86,64 @@ def dense_topk(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Each benchmark item with its three best documents."""
+    """Each benchmark item with its three best documents: a bounded few rows, whose side of the join is broadcast while they are few."""
     found = retrieval.bm25(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", 3)
+    found = cut(found.select("query", "passage"))
+    found = F.broadcast(found) if found.count() <= PAIR_ROWS else found
     sources = _items(spark, sf).select(F.col("item_id").alias("query"), F.col("text").alias("source"))
     candidates = _docs(spark, sf).select(F.col("doc_id").alias("passage"), F.col("text").alias("candidate"))
     return found.join(sources, "query").join(candidates, "passage").select(F.concat_ws("-", F.col("query").cast("string"), F.col("passage").cast("string")).alias("pair_id"), "source", "candidate")
 
 
 def pair_similarities(spark, sf):
-    found = pairwise.similarities(cut(_pairs(spark, sf)))
+    found = pairwise.similarities(_pairs(spark, sf))
     return found.select("pair_id", *[rounded(F.col(c)).alias(c) for c in ("lexical", "chars", "containment")])
 
 
-def retrieve_then_analyze(spark, sf):
-    return pairwise.analyze(_pairs(spark, sf))
+def segment_best_match(spark, sf):
+    return pairwise.best_matches(_pairs(spark, sf)).select("pair_id", "source_start", "source_end", "candidate_start", "candidate_end", "similarity", "match_type")
 
 
 def evidence_spans(spark, sf):
-    found = pairwise.evidence(pairwise.best_matches(cut(pairwise.valid(_pairs(spark, sf)))))
-    e = found.select("pair_id", F.posexplode("evidence").alias("n", "e"))
-    return e.select("pair_id", F.col("n").cast("long").alias("n"), "e.c_start", "e.c_end", "e.s_start", "e.s_end", F.col("e.kind").alias("kind"), (-F.col("e.order")).alias("similarity"))
+    return pairwise.evidence(_pairs(spark, sf)).select("pair_id", "n", "source_start", "source_end", "candidate_start", "candidate_end", "similarity", "match_type")
+
+
+def retrieve_then_analyze(spark, sf):
+    found = pairwise.analyze(_pairs(spark, sf))
+    return found.select("pair_id", "score", "verdict", "lexical", "chars", "containment", "coverage", F.size("evidence").cast("long").alias("n_evidence"), "method")
+
+
+def _hybrid(spark, sf, top_k, reranker=None):
+    """BM25 and md5-hashed embeddings of all documents, ranks of full rankings."""
+    found = retrieval.HybridRetriever(embedding.HashingEmbedder(256, "md5"), reranker)
+    index = found.index(_docs(spark, sf), "doc_id")
+    return found.search(index, _items(spark, sf), "item_id", top_k, 50, passages=_docs(spark, sf), id_col="doc_id")
 
 
 def rrf_hybrid(spark, sf):
-    """BM25 fused with a ranking by the share of the query's distinct terms that a passage holds."""
-    lexical = retrieval.bm25(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", 50)
-    scored = lexical.select("query", "passage")
-    q = _items(spark, sf).select(F.col("item_id").alias("query"), F.array_distinct(terms(F.col("text"))).alias("q"))
-    d = _docs(spark, sf).select(F.col("doc_id").alias("passage"), F.array_distinct(terms(F.col("text"))).alias("d"))
-    w = F.row_number().over(retrieval.Window.partitionBy("query").orderBy(F.desc("s"), "passage")).cast("long")
-    second = scored.join(q, "query").join(d, "passage").select("query", "passage", rounded(F.size(F.array_intersect("q", "d")) / F.size("q")).alias("s")).withColumn("rank", w)
-    return retrieval.fuse(lexical, second, 10).select("query", "passage", "lexical_rank", "dense_rank", "score", "rank")
+    return _hybrid(spark, sf, 10).select("query", "passage", "lexical_rank", "dense_rank", "score", "rank")
+
+
+class LexicalReranker:
+    """A reranker of the engine's own: the lexical similarity of query and passage."""
+
+    name = "lexical"
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        return [math.floor(pairwise.whole_similarities(query, p)[0] * 1e6 + 0.5) / 1e6 for p in passages]
+
+
+def rerank_blend(spark, sf):
+    return _hybrid(spark, sf, 10, LexicalReranker()).select("query", "passage", "lexical_rank", "dense_rank", "reranker_score", "rank", "method")
+
+
+def hash_embed_md5(spark, sf):
+    v = _docs(spark, sf).select("doc_id", embedding.encoder(embedding.HashingEmbedder(256, "md5"))(F.col("text")).alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("bucket", "w")).where("w > 0").select("doc_id", "bucket", rounded(F.col("w")).alias("weight"))
 
 
-def hashed_embeddings(spark, sf):
-    return _items(spark, sf).select("item_id", retrieval.hashing_embedder()(F.col("text")).alias("embedding"))
+def hash_embed_blake2b(spark, sf):
+    return _docs(spark, sf).select("doc_id", embedding.encoder(embedding.HashingEmbedder())(F.col("text")).alias("embedding"))
 
 
 def _scored(spark, sf):
@@ -229,7 +254,7 @@ def folded_text(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded_sha"))
 
 
-QUERIES = [retrieve_then_analyze, bm25_topk, token_counts, normalized_hash_groups, content_dedupe, segment_spans, chunk_spans, segment_windows, word_features, char_features, document_frequency, corpus_stats, dense_topk, pair_similarities, evidence_spans, rrf_hybrid, hashed_embeddings, group_split, split_leakage, threshold_metrics, metrics_by_category, thresholds_distinct, choose_threshold_distinct, choose_threshold_grid, average_precision, score_summary, dataset_fingerprint, interval_merge, interval_intersection, adversarial_suite, tenant_documents, upsert_documents, referential_violations, job_latest_status, counters_prometheus, rate_limiter, label_distribution, text_length_summary, folded_text]
+QUERIES = [retrieve_then_analyze, bm25_topk, token_counts, normalized_hash_groups, content_dedupe, segment_spans, chunk_spans, segment_windows, word_features, char_features, document_frequency, corpus_stats, dense_topk, pair_similarities, segment_best_match, evidence_spans, rrf_hybrid, rerank_blend, hash_embed_md5, hash_embed_blake2b, group_split, split_leakage, threshold_metrics, metrics_by_category, thresholds_distinct, choose_threshold_distinct, choose_threshold_grid, average_precision, score_summary, dataset_fingerprint, interval_merge, interval_intersection, adversarial_suite, tenant_documents, upsert_documents, referential_violations, job_latest_status, counters_prometheus, rate_limiter, label_distribution, text_length_summary, folded_text]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
