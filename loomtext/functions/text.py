@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of the pairwise scorer may hold inner apostrophes and hyphens; terms of retrieval may not.
+# Words of the pairwise scorer may hold inner apostrophes and hyphens; terms of retrieval may not.
 WORD = r"(?U)[^\W_]+(?:['’\-][^\W_]+)*"
 TERM = r"(?U)[^\W_]+"
 
@@ -77,5 +77,5 @@ def char_grams(text: Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Plain binary rounding, the same on every engine."""
-    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)
+    """Rounded half to even on the scaled binary value, the same on every engine."""
+    return F.rint(x * float(10**digits)) / float(10**digits)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import rounded
+from loomtext.session import cut
 
 
 def share(a: Column, b: Column) -> Column:
@@ -18,15 +21,26 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 
 def group_split(rows: DataFrame, group: str, fraction: float = 0.75, seed: int = 42) -> DataFrame:
-    """rows with partition: whole groups go to calibration in the order of sha256 of seed:group, at least one to each side."""
-    groups = rows.select(group).distinct()
-    n = groups.count()
+    """rows with partition: whole groups go to calibration in the order of sha256 of seed:group, at least one to each side.
+
+    Groups are counted by the first digits of their hash, so only the groups that share the digits
+    of the last one taken are ordered. Null groups go to test.
+    """
+    groups = rows.select(F.col(group).alias("g")).where("g is not null").distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("g").cast("string")), 256))
+    groups = cut(groups.withColumn("digits", F.substring("h", 1, 4)))
+    counts = sorted(groups.groupBy("digits").count().collect())  # at most 65,536
+    n = sum(c for _, c in counts)
     if n < 2:
         raise ValueError("two groups are needed")
-    take = min(n - 1, max(1, round(n * fraction)))
-    hashed = groups.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256))
-    first = hashed.orderBy("h", group).limit(take).select(group, F.lit("calibration").alias("partition"))
-    return rows.join(first, group, "left").withColumn("partition", F.coalesce("partition", F.lit("test")))
+    left, last = min(n - 1, max(1, round(n * fraction))), ""
+    for last, c in counts:
+        if left <= c:
+            break
+        left -= c
+    border = groups.where(F.col("digits") == last).orderBy("h", "g").limit(left)
+    taken = groups.where(F.col("digits") < last).unionByName(border).select("g", F.lit(True).alias("taken"))
+    joined = rows.join(taken, rows[group] == taken["g"], "left")
+    return joined.select(*[rows[c] for c in rows.columns], F.when(taken["taken"], "calibration").otherwise("test").alias("partition"))
 
 
 def confusion_at(scored: DataFrame, threshold: float, keys: list[str] = ()) -> DataFrame:
@@ -37,13 +51,16 @@ def confusion_at(scored: DataFrame, threshold: float, keys: list[str] = ()) -> D
 
 
 def by_threshold(scored: DataFrame) -> DataFrame:
-    """threshold, tp, fp, fn and metrics at every distinct score: counts by score first, then one running sum over these."""
+    """threshold, tp, fp, fn and metrics at every distinct score and just above the largest: counts by score first, then one running sum over these."""
     per = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    total = scored.agg(F.count_if(F.col("label") == 1).alias("total"))
     # scores are rounded, so their number has a bound that doesn't grow with the rows
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(F.col("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).join(F.broadcast(total), F.lit(True)).withColumn("fn", F.col("total") - F.col("tp"))
-    return run.select("threshold", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    every = Window.partitionBy()
+    run = per.select(F.col("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(every).alias("total"), (F.col("score") == F.max("score").over(every)).alias("top"))
+    none = F.struct(F.expr("cast(reflect('java.lang.Math', 'nextUp', threshold) as double)").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    own = F.struct("threshold", "tp", "fp")
+    at = run.select("total", F.explode(F.when(F.col("top"), F.array(own, none)).otherwise(F.array(own))).alias("t")).select("t.*", (F.col("total") - F.col("t.tp")).alias("fn"))
+    return at.select("threshold", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def choose_threshold(scored: DataFrame) -> DataFrame:
@@ -54,7 +71,9 @@ def choose_threshold(scored: DataFrame) -> DataFrame:
 
 def choose_threshold_grid(scored: DataFrame, low: int = 15, high: int = 85) -> DataFrame:
     """As above on a grid of hundredths: a row adds to the histogram cell of the last threshold that it reaches, so rows aren't multiplied."""
-    cell = F.least(F.floor(F.col("score") * 100 + 1e-9), F.lit(high))
+    near = F.floor(F.col("score") * 100)
+    cell = F.when((near + 1) / 100.0 <= F.col("score"), near + 1).when(near / 100.0 > F.col("score"), near - 1).otherwise(near)
+    cell = F.least(cell, F.lit(high))
     per = scored.groupBy(cell.alias("cell")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     grid = scored.sparkSession.range(low, high + 1).withColumnRenamed("id", "t")
     at = grid.join(F.broadcast(per)).groupBy("t").agg(F.sum(F.when(F.col("cell") >= F.col("t"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("cell") >= F.col("t"), F.col("n")).otherwise(0)).alias("fp"), F.sum("p").alias("total"))
@@ -78,11 +97,28 @@ def score_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"), rounded(F.avg("score"), 6).alias("mean_score"), q(0.5).alias("p50"), q(0.95).alias("p95"))
 
 
-def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """sha256 over the sorted digests of all rows: the digests alone are gathered, in one aggregate row."""
-    digest = F.sha2(F.concat_ws("\u0000", *[F.col(c).cast("string") for c in columns]), 256)
-    buckets = rows.select(digest.alias("d")).groupBy(F.substring("d", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
+def dataset_fingerprint(pairs: DataFrame) -> DataFrame:
+    """sha256 of the lines pair_id, group_id, label, category and the sha256 of source and candidate, in the order of pair_id.
+
+    The hash is sequential by its definition: the lines stream to the driver one partition at a
+    time, so this is for labelled sets; ``table_fingerprint`` is for tables of any size. Null fields
+    count as empty.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat_ws("\0", text("pair_id"), text("group_id"), text("label"), text("category"), F.sha2(text("source"), 256), F.sha2(text("candidate"), 256))
+    digest = hashlib.sha256()
+    for r in pairs.select(text("pair_id").alias("pair_id"), line.alias("line")).orderBy("pair_id", "line").toLocalIterator():
+        digest.update(f"{r[1]}\n".encode())
+    return pairs.sparkSession.createDataFrame([(digest.hexdigest(),)], "fingerprint string")
+
+
+def table_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """fingerprint, rows: a hash of the multiset of rows, whatever their order; sums of parts of the row digests combine in the tasks, nothing is gathered. A null differs from every text."""
+    field = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    digest = F.sha2(F.concat_ws("\x1f", *[field(c) for c in columns]), 256)
+    part = lambda k: F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
+    sums = rows.select(digest.alias("d")).agg(*[F.coalesce(F.sum(part(k)), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{k}") for k in range(4)], F.count("*").alias("rows"))
+    return sums.select(F.sha2(F.concat_ws(",", "s0", "s1", "s2", "s3"), 256).alias("fingerprint"), "rows")
 
 
 def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,17 +130,29 @@ def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def intersection_length(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, length of the common part of two merged interval tables."""
-    both = merge_intervals(a, keys).alias("a").join(merge_intervals(b, keys).alias("b"), keys)
-    size = F.greatest(F.lit(0), F.least("a.end", "b.end") - F.greatest("a.start", "b.start"))
-    return both.groupBy(*keys).agg(F.sum(size).cast("long").alias("length"))
+    """keys, length of the common part of two interval tables, for keys that both have: one sweep over the ends of each key's merged intervals."""
+    ends = lambda t, x, y: merge_intervals(t, keys).select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(x).alias("a"), F.lit(y).alias("b")), F.struct(F.col("end").alias("at"), F.lit(-x).alias("a"), F.lit(-y).alias("b")))).alias("e")).select(*keys, "e.*")
+    every = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max(F.abs("a")).alias("has_a"), F.max(F.abs("b")).alias("has_b"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = every.select(*keys, "has_a", "has_b", F.when((F.sum("a").over(run) > 0) & (F.sum("b").over(run) > 0), F.lead("at").over(w) - F.col("at")).otherwise(0).alias("size"))
+    return swept.groupBy(*keys).agg(F.sum("size").cast("long").alias("length"), F.max("has_a").alias("x"), F.max("has_b").alias("y")).where("x > 0 and y > 0").drop("x", "y")
 
 
 def passage_metrics(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    total = lambda t: merge_intervals(t, keys).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("n")).first()[0]
-    p, t = total(predicted), total(truth)
-    hit = intersection_length(predicted, truth, keys).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tp"))
-    return hit.select("tp", *prf(F.col("tp"), F.lit(p) - F.col("tp"), F.lit(t) - F.col("tp")))
+    """predicted_characters, annotated_characters, overlapping_characters, precision, recall, f1 over all keys together."""
+    total = lambda t, name: merge_intervals(t, keys).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("long").alias(name))
+    hit = intersection_length(predicted, truth, keys).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("overlapping_characters"))
+    one = total(predicted, "predicted_characters").join(total(truth, "annotated_characters")).join(hit)  # one row each
+    p, t, h = (F.col(c) for c in ("predicted_characters", "annotated_characters", "overlapping_characters"))
+    return one.select(p, t, h, *prf(h, p - h, t - h))
+
+
+def binary_report(outcomes: DataFrame) -> DataFrame:
+    """category (null: all), examples, tp, fp, tn, fn and metrics of rows (label, verdict, category): a verdict other than low_overlap is a positive."""
+    hit, pos = F.col("verdict") != "low_overlap", F.col("label") == 1
+    counted = outcomes.groupingSets([[], [F.col("category")]], "category").agg(F.count("*").alias("examples"), F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & ~pos).alias("tn"), F.count_if(~hit & pos).alias("fn"))
+    return counted.select("category", "examples", "tp", "fp", "tn", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def leakage(split: DataFrame, group: str) -> DataFrame:

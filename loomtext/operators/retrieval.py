@@ -130,14 +130,14 @@ class QueryBlock:
         each = np.repeat(np.arange(len(term)), many)
         q = self.holders[np.repeat(self.starts[term] - (np.cumsum(many) - many), many) + np.arange(len(each))]
         sums = np.bincount(row[each] * len(self.ids) + q, weights=part[each], minlength=batch.num_rows * len(self.ids))
-        return np.floor(sums * 1e6 + 0.5).astype(np.int64).reshape(batch.num_rows, len(self.ids))
+        return np.rint(sums * 1e6).astype(np.int64).reshape(batch.num_rows, len(self.ids))
 
     def dense(self, batch: pa.RecordBatch) -> np.ndarray:
         """Cosines in whole millionths, passages x queries; 0 where a vector is zero."""
         v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
         norms = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((self.vectors**2).sum(1))[None]
         dot = v @ self.vectors.T
-        return np.floor(np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0) * 1e6 + 0.5).astype(np.int64)
+        return np.rint(np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0) * 1e6).astype(np.int64)
 
     def channels(self, batch: pa.RecordBatch):
         """(ids, scores by channel) of each tile of a batch."""
@@ -395,7 +395,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 v[size > 0] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
                 norms = np.sqrt((v * v).sum(1))[:, None] * q_norm[None]
                 dot = v @ q.T
-                score = np.floor(np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0) * 1e6 + 0.5).astype(np.int64)
+                score = np.rint(np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0) * 1e6).astype(np.int64)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for i, mine in enumerate(own):
                     other = ids != mine

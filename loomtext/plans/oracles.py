@@ -4,8 +4,8 @@ FOLD = "lower(replace(text, 'ß', 'ss'))"
 TERMS = rf"regexp_extract_all({FOLD}, '[\p{{L}}\p{{N}}]+')"
 WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{N}}]+)*')"
 NORMAL = rf"trim(regexp_replace({FOLD}, '\s+', ' ', 'g'))"
-R = "floor(({}) * 1000000.0 + 0.5) / 1000000.0"
-R4 = "floor(({}) * 10000.0 + 0.5) / 10000.0"
+R = "round_even(CAST({} AS DOUBLE) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE"
+R4 = "round_even(CAST({} AS DOUBLE) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE"
 
 SCORED = f"""scored AS (SELECT doc_id AS pair_id, source AS "group", lang AS category, CAST(quality AS BIGINT) AS label,
   CASE WHEN len(t) > 0 THEN {R4.format("CAST(len(list_distinct(t)) AS DOUBLE) / len(t)")} ELSE 0.0 END AS score
@@ -49,7 +49,7 @@ dn AS (SELECT k, sqrt(sum(c * c)) AS n FROM db GROUP BY k), qn AS (SELECT k, sqr
 dp AS (SELECT q.k AS query, d.k AS passage, sum(q.c * d.c) AS dot FROM qb q JOIN db d USING (b) GROUP BY ALL),
 ds AS (SELECT bm.query, bm.passage, bm.rank AS lexical_rank, row_number() OVER (PARTITION BY bm.query ORDER BY {R.format("coalesce(dot / (dn.n * qn.n), 0.0)")} DESC, bm.passage) AS dense_rank
  FROM bm LEFT JOIN dp ON dp.query = bm.query AND dp.passage = bm.passage LEFT JOIN dn ON dn.k = bm.passage LEFT JOIN qn ON qn.k = bm.query),
-fu AS (SELECT *, floor((1.0::DOUBLE / (lexical_rank + 60) + 1.0::DOUBLE / (dense_rank + 60)) * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE AS score FROM ds),
+fu AS (SELECT *, round_even((1.0::DOUBLE / (lexical_rank + 60) + 1.0::DOUBLE / (dense_rank + 60)) * 1000000000.0::DOUBLE, 0) / 1000000000.0::DOUBLE AS score FROM ds),
 hy AS (SELECT query, passage, lexical_rank, dense_rank, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM fu QUALIFY rank <= 50)"""
 
 
@@ -86,7 +86,8 @@ def _merged(name: str, where: str = "true") -> str:
 
 _BY_THRESHOLD = f"""{SCORED}, per AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM scored GROUP BY score),
 run AS (SELECT score AS threshold, CAST(sum(p) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(n) OVER (ORDER BY score DESC) AS BIGINT) AS fp, CAST(sum(p) OVER () AS BIGINT) AS total FROM per),
-th AS (SELECT threshold, tp, fp, total - tp AS fn, {_prf("tp", "fp", "total - tp")} FROM run)"""
+every AS (SELECT threshold, tp, fp, total FROM run UNION ALL SELECT nextafter(max(threshold), CAST('infinity' AS DOUBLE)), 0, 0, max(total) FROM run),
+th AS (SELECT threshold, tp, fp, total - tp AS fn, {_prf("tp", "fp", "total - tp")} FROM every)"""
 _SPLIT = f"""{SCORED}, g AS (SELECT "group", row_number() OVER (ORDER BY sha256('42:' || "group"), "group") AS r, count(*) OVER () AS n FROM (SELECT DISTINCT "group" FROM scored)),
 sp AS (SELECT scored.*, CASE WHEN r <= least(n - 1, greatest(1, round_even(n * 0.75, 0))) THEN 'calibration' ELSE 'test' END AS partition FROM scored JOIN g USING ("group"))"""
 
@@ -95,7 +96,6 @@ def norm_of(text: str) -> str:
     return NORMAL.replace("text", text)
 
 
-RE4 = "round_even(({}) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE"
 _WORD_TILE = r"[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+"
 _LONG = "list_filter({}, lambda x: length(x) > 2)"
 _WORD_GRAMS = "list_concat(list_transform({0}, lambda x: 'w:' || x), list_transform(range(1, len({0})), lambda i: 'b:' || {0}[i] || '_' || {0}[i + 1]))"
@@ -155,7 +155,7 @@ gl AS (SELECT {_KEYS}, CAST(m AS DOUBLE) / total AS v FROM (SELECT p.query, sgi,
 ok AS MATERIALIZED (SELECT pair_id, pr.query, pr.passage FROM pr JOIN src USING (query) JOIN cnd USING (passage) WHERE len({WORDS.format(norm_of("src.text"))}) >= 3 AND len({WORDS.format(norm_of("cnd.text"))}) >= 3),
 sco AS MATERIALIZED (SELECT pair_id, query, sgi, passage, cgi, greatest(0.0, least(1.0, 0.55::DOUBLE * coalesce(gw.v, 0.0) + 0.30::DOUBLE * coalesce(gh.v, 0.0) + 0.15::DOUBLE * coalesce(gl.v, 0.0))) AS score FROM gh FULL JOIN gw USING ({_KEYS}) FULL JOIN gl USING ({_KEYS}) JOIN ok USING (query, passage)),
 bst AS MATERIALIZED (SELECT * FROM sco QUALIFY row_number() OVER (PARTITION BY pair_id, cgi ORDER BY score DESC, sgi) = 1 AND score >= 0.30),
-mat AS MATERIALIZED (SELECT pair_id, s."start" AS source_start, s."end" AS source_end, c."start" AS candidate_start, c."end" AS candidate_end, {RE4.format("score")} AS similarity,
+mat AS MATERIALIZED (SELECT pair_id, s."start" AS source_start, s."end" AS source_end, c."start" AS candidate_start, c."end" AS candidate_end, {R4.format("score")} AS similarity,
  CASE WHEN s.w = c.w THEN 'exact' WHEN score >= 0.72 THEN 'near_verbatim' ELSE 'lexical' END AS match_type, {WORDS.format(norm_of("c.seg"))} AS cw
  FROM bst JOIN sseg s ON s.query = bst.query AND s."start" * 1000000 + s."end" = sgi JOIN cseg c ON c.passage = bst.passage AND c."start" * 1000000 + c."end" = cgi)"""
 _GREEDY = """ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY similarity DESC, candidate_start, source_start) AS r FROM mat),
@@ -168,7 +168,7 @@ own AS MATERIALIZED (SELECT passage, list_distinct({_LONG.format(WORDS.format(NO
 hit AS MATERIALIZED (SELECT pair_id, list_distinct(flatten(list(list_filter(cw, lambda x: length(x) > 2)))) AS hit, count(*) AS n_evidence, max(similarity) AS best FROM evi GROUP BY pair_id),
 res AS (SELECT sim.*, coalesce(n_evidence, 0) AS n_evidence, coalesce(best, 0.0) AS best, CASE WHEN len(own) > 0 THEN coalesce(CAST(len(hit) AS DOUBLE) / len(own), 0.0) ELSE 0.0 END AS coverage FROM sim JOIN ok USING (pair_id) JOIN own ON own.passage = sim.passage LEFT JOIN hit USING (pair_id)),
 fin AS (SELECT *, greatest(0.0, least(1.0, greatest(0.68::DOUBLE * lexical + 0.32::DOUBLE * chars, 0.72::DOUBLE * best + 0.28::DOUBLE * coverage))) AS raw FROM res)
-SELECT pair_id, {RE4.format("raw")} AS score, CASE WHEN raw >= 0.64 THEN 'high_overlap' WHEN raw >= 0.36 THEN 'review_recommended' ELSE 'low_overlap' END AS verdict, {RE4.format("lexical")} AS lexical, {RE4.format("chars")} AS chars, {RE4.format("containment")} AS containment, {RE4.format("coverage")} AS coverage, n_evidence, 'pairwise_tfidf_style_v2' AS method FROM fin"""
+SELECT pair_id, {R4.format("raw")} AS score, CASE WHEN raw >= 0.64 THEN 'high_overlap' WHEN raw >= 0.36 THEN 'review_recommended' ELSE 'low_overlap' END AS verdict, {R4.format("lexical")} AS lexical, {R4.format("chars")} AS chars, {R4.format("containment")} AS containment, {R4.format("coverage")} AS coverage, n_evidence, 'pairwise_tfidf_style_v2' AS method FROM fin"""
 _RERANK = f"""WITH {_HYBRID}, hw AS (SELECT query, passage, fu_rank, lexical_rank, dense_rank, score FROM (SELECT *, rank AS fu_rank FROM hy)),
 {_counts("sw", f"(SELECT item_id AS query, {WORDS.format(NORMAL)} AS w FROM benchmark)", "query", _WORD_GRAMS.format("w"))}, {_counts("cw", f"(SELECT doc_id AS passage, {WORDS.format(NORMAL)} AS w FROM documents WHERE doc_id IN (SELECT passage FROM hy))", "passage", _WORD_GRAMS.format("w"))},
 pr AS (SELECT query || '-' || passage AS pair_id, query, passage FROM hy), {_cosine("xw", "sw", "cw", "query", "passage")},
@@ -177,6 +177,34 @@ sc2 AS (SELECT *, CASE WHEN max(score) OVER q = min(score) OVER q THEN 1.0 ELSE
 rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {R.format("0.35::DOUBLE * x + 0.65::DOUBLE * y")} DESC, passage) AS rank FROM sc2)
 SELECT query, passage, lexical_rank, dense_rank, again AS reranker_score, rank, 'bm25+hashing-ngram-256-md5+lexical' AS method FROM rk WHERE rank <= 10"""
 
+_LABELLED = rf"""{_PAIRS}, lab AS MATERIALIZED (SELECT pair_id, sha256(trim(regexp_replace({FOLD.replace("text", "src.text")}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) AS group_id, src.text AS source, cnd.text AS candidate, CAST(contains(cnd.text, src.text) AS BIGINT) AS label, lang AS category, pr.query, pr.passage
+ FROM pr JOIN src USING (query) JOIN cnd USING (passage) JOIN documents ON doc_id = pr.passage)"""
+_OUTCOMES = f"""res2 AS MATERIALIZED ({_ANALYSIS})"""
+_BINARY = """SELECT {0}, count(*) AS examples, count(*) FILTER (label = 1 AND verdict <> 'low_overlap') AS tp, count(*) FILTER (label = 0 AND verdict <> 'low_overlap') AS fp, count(*) FILTER (label = 0 AND verdict = 'low_overlap') AS tn, count(*) FILTER (label = 1 AND verdict = 'low_overlap') AS fn FROM oc {1}"""
+_EVALUATE = f"""WITH {_LABELLED}, {_OUTCOMES}, oc AS (SELECT lab.*, verdict FROM lab JOIN res2 USING (pair_id)), b AS ({_BINARY.format("CAST(NULL AS VARCHAR) AS category", "")} UNION ALL {_BINARY.format("category", "GROUP BY category")})
+SELECT category, examples, tp, fp, tn, fn, {_prf("tp", "fp", "fn")} FROM b"""
+_PASSAGES = f"""WITH RECURSIVE {_LABELLED}, {_SEG_SCORES}, {_GREEDY},
+p AS (SELECT pair_id, candidate_start AS s, candidate_end AS e FROM evi), t AS (SELECT pair_id, CAST(instr(candidate, source) - 1 AS BIGINT) AS s, CAST(instr(candidate, source) - 1 + length(source) AS BIGINT) AS e FROM lab JOIN ok USING (pair_id) WHERE label = 1),
+n AS (SELECT (SELECT coalesce(sum(e - s), 0) FROM p) AS pc, (SELECT coalesce(sum(e - s), 0) FROM t) AS tc, (SELECT coalesce(sum(greatest(0, least(p.e, t.e) - greatest(p.s, t.s))), 0) FROM p JOIN t USING (pair_id)) AS oc)
+SELECT CAST(pc AS BIGINT) AS predicted_characters, CAST(tc AS BIGINT) AS annotated_characters, CAST(oc AS BIGINT) AS overlapping_characters, {_prf("oc", "pc - oc", "tc - oc")} FROM n"""
+
+_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will", "with")
+_BLOCKS = rf"""st AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP.format("s")}), lambda s: s <> '') AS s FROM documents),
+b AS (SELECT doc_id, block, array_to_string(list_slice(s, block * 4 + 1, block * 4 + 4), ' ') AS text FROM (SELECT doc_id, s, unnest(range(0, CAST(ceil(len(s) / 4.0) AS BIGINT))) AS block FROM st))"""
+_METRICS = f"""{_prf("tp", "fp", "fn")}, {R4.format("CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn)")} AS accuracy"""
+_CONFUSED = "count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 0) AS tn, count(*) FILTER (score < t AND label = 1) AS fn"
+_BENCHMARK = f"""WITH {_LABELLED}, {_WHOLE}, sx AS MATERIALIZED (SELECT lab.pair_id, group_id, category, label, {R.format("lexical")} AS score FROM lab JOIN sim USING (pair_id)),
+g AS (SELECT group_id, row_number() OVER (ORDER BY sha256('42:' || group_id), group_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM sx)),
+sp AS MATERIALIZED (SELECT sx.*, r <= least(n - 1, greatest(1, round_even(n * 0.5, 0))) AS cal FROM sx JOIN g USING (group_id)),
+ct AS (SELECT DISTINCT score AS t FROM sp WHERE cal UNION ALL SELECT nextafter(max(score), CAST('infinity' AS DOUBLE)) FROM sp WHERE cal),
+cm AS (SELECT t, {_CONFUSED} FROM ct CROSS JOIN sp WHERE cal GROUP BY t), best AS (SELECT t, {_METRICS} FROM cm ORDER BY f1 DESC, precision DESC, recall DESC, t DESC LIMIT 1),
+te AS (SELECT sp.*, best.t FROM sp, best WHERE NOT cal),
+rk AS (SELECT label, row_number() OVER (ORDER BY score DESC, pair_id) AS r, sum(label) OVER (ORDER BY score DESC, pair_id) AS f FROM te),
+ap AS (SELECT {R.format("coalesce(sum(CASE WHEN label = 1 THEN CAST(f AS DOUBLE) / r ELSE 0 END) / nullif(sum(label), 0), 0.0)")} AS ap FROM rk),
+ss AS (SELECT min(score) AS min_score, max(score) AS max_score, {R.format("avg(score)")} AS mean_score FROM te),
+cx AS (SELECT CAST(NULL AS VARCHAR) AS category, {_CONFUSED} FROM te UNION ALL SELECT category, {_CONFUSED} FROM te GROUP BY category)
+SELECT 'lexical' AS model, (SELECT {R.format("t")} FROM best) AS threshold, category, tp, fp, tn, fn, {_METRICS}, b.precision AS calibration_precision, b.recall AS calibration_recall, b.f1 AS calibration_f1, b.accuracy AS calibration_accuracy, {R4.format("ap")} AS average_precision, min_score, max_score, mean_score FROM cx, best b, ap, ss"""
+
 ORACLES = {
     "token_counts": f"SELECT doc_id, CAST(len({WORDS.format(NORMAL)}) AS BIGINT) AS n_words, CAST(len({TERMS}) AS BIGINT) AS n_terms FROM documents",
     "normalized_hash_groups": rf"SELECT content_key, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(trim(regexp_replace({FOLD}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) AS content_key FROM documents) GROUP BY content_key",
@@ -201,25 +229,80 @@ SELECT query, passage, score, row_number() OVER (PARTITION BY query ORDER BY sco
     "evidence_spans": f"WITH RECURSIVE {_PAIRS}, {_SEG_SCORES}, {_GREEDY} SELECT pair_id, n, source_start, source_end, candidate_start, candidate_end, similarity, match_type FROM evi",
     "retrieve_then_analyze": _ANALYSIS,
     "rerank_blend": _RERANK,
-    "group_split": f"""WITH {_SPLIT} SELECT partition, count(*) AS rows, count(DISTINCT "group") AS groups FROM sp GROUP BY partition""",
+    "group_split": f"""WITH {_SPLIT} SELECT pair_id, "group", partition FROM sp""",
     "split_leakage": f"""WITH {_SPLIT}, x AS (SELECT "group", count(DISTINCT partition) AS n FROM sp GROUP BY "group") SELECT count(*) FILTER (n > 1) AS leaked_groups, count(*) AS groups FROM x""",
+    "evaluate_report": _EVALUATE,
+    "passage_metrics": _PASSAGES,
     "threshold_metrics": _confusion(),
     "metrics_by_category": _confusion("category"),
     "thresholds_distinct": f"WITH {_BY_THRESHOLD} SELECT threshold, tp, fp, fn, precision, recall, f1 FROM th",
     "choose_threshold_distinct": f"WITH {_BY_THRESHOLD} SELECT threshold, f1, precision, recall FROM th ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC LIMIT 1",
-    "choose_threshold_grid": f"""WITH {SCORED}, g AS (SELECT t / 100.0::DOUBLE AS threshold, count(*) FILTER (score * 100 + 1e-9 >= t AND label = 1) AS tp, count(*) FILTER (score * 100 + 1e-9 >= t AND label = 0) AS fp, count(*) FILTER (label = 1) AS total FROM range(15, 86) r(t), scored GROUP BY t),
+    "choose_threshold_grid": f"""WITH {SCORED}, g AS (SELECT t / 100.0::DOUBLE AS threshold, count(*) FILTER (score >= t / 100.0::DOUBLE AND label = 1) AS tp, count(*) FILTER (score >= t / 100.0::DOUBLE AND label = 0) AS fp, count(*) FILTER (label = 1) AS total FROM range(15, 86) r(t), scored GROUP BY t),
 th AS (SELECT threshold, {_prf("tp", "fp", "total - tp")} FROM g) SELECT threshold, f1, precision FROM th ORDER BY f1 DESC, precision DESC, threshold DESC LIMIT 1""",
     "average_precision": f"""WITH {SCORED}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, pair_id) AS r, sum(label) OVER (ORDER BY score DESC, pair_id) AS f FROM scored)
 SELECT {R.format("sum(CASE WHEN label = 1 THEN CAST(f AS DOUBLE) / r ELSE 0 END) / sum(label)")} AS average_precision, CAST(sum(label) AS BIGINT) AS positives FROM r""",
     "score_summary": f"WITH {SCORED} SELECT min(score) AS min_score, max(score) AS max_score, {R.format('avg(score)')} AS mean_score, quantile_disc(score, 0.5) AS p50, quantile_disc(score, 0.95) AS p95 FROM scored",
-    "dataset_fingerprint": "WITH d AS (SELECT sha256(doc_id || chr(0) || source || chr(0) || text) AS d FROM documents), b AS (SELECT d[1:3] AS b, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM d GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint FROM b",
+    "dataset_fingerprint": f"WITH {_LABELLED} SELECT sha256(string_agg(pair_id || chr(0) || group_id || chr(0) || label || chr(0) || category || chr(0) || sha256(source) || chr(0) || sha256(candidate) || chr(10), '' ORDER BY pair_id)) AS fingerprint FROM lab",
+    "table_fingerprint": "WITH d AS (SELECT sha256(doc_id || chr(31) || '=' || source || chr(31) || '=' || text) AS d FROM (SELECT '=' || doc_id AS doc_id, source, text FROM documents)) SELECT sha256(concat_ws(',', " + ", ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 15 * k}, 15)) AS BIGINT)) AS VARCHAR)" for k in range(4)) + ")) AS fingerprint, count(*) AS rows FROM d",
     "interval_merge": f"""WITH {_IV}, {_merged("m")} SELECT user_id, s AS start, e AS "end" FROM m""",
     "interval_intersection": f"""WITH {_IV}, {_merged("a", "event_type = 'click'")}, {_merged("b", "event_type = 'view'")} SELECT user_id, CAST(sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) AS BIGINT) AS length FROM a JOIN b USING (user_id) GROUP BY user_id""",
+    "adversarial_suite": rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS g, text AS t FROM documents WHERE n_chars <= 100000 AND len(regexp_extract_all(text, '\S+')) >= 8),
+c AS (SELECT g, t, 'case_change' AS category, array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN c = upper(c) AND c <> 'ß' THEN lower(c) WHEN c = 'ß' THEN 'SS' ELSE upper(c) END), '') AS x FROM d
+ UNION ALL SELECT g, t, 'punctuation_noise', regexp_replace(t, '\s+', ' , ', 'g') FROM d UNION ALL SELECT g, t, 'whitespace_noise', regexp_replace(t, '\s+', ' ' || chr(10) || chr(9) || ' ', 'g') FROM d
+ UNION ALL SELECT g, t, 'sentence_reorder', array_to_string(list_reverse(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP.format("s")}), lambda s: s <> '')), ' ') FROM d
+ UNION ALL SELECT g, t, 'filler_insertion', 'Context before the reused material. ' || t || ' Additional context.' FROM d)
+SELECT g || ':' || category AS example_id, category, sha256(x) AS candidate_sha, length(x) AS candidate_end, length(t) AS source_end FROM c""",
+    "adversarial_scores": rf"""WITH d AS (SELECT CAST(item_id AS VARCHAR) AS g, text AS t FROM benchmark WHERE len(regexp_extract_all(text, '\S+')) >= 8),
+c AS (SELECT g || ':' || category AS pair_id, t, x FROM (SELECT g, t, 'case_change' AS category, array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN c = upper(c) AND c <> 'ß' THEN lower(c) WHEN c = 'ß' THEN 'SS' ELSE upper(c) END), '') AS x FROM d
+ UNION ALL SELECT g, t, 'punctuation_noise', regexp_replace(t, '\s+', ' , ', 'g') FROM d UNION ALL SELECT g, t, 'whitespace_noise', regexp_replace(t, '\s+', ' ' || chr(10) || chr(9) || ' ', 'g') FROM d
+ UNION ALL SELECT g, t, 'sentence_reorder', array_to_string(list_reverse(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP.format("s")}), lambda s: s <> '')), ' ') FROM d
+ UNION ALL SELECT g, t, 'filler_insertion', 'Context before the reused material. ' || t || ' Additional context.' FROM d)),
+{_counts("aw", f"(SELECT pair_id, {WORDS.format(norm_of('t'))} AS w FROM c)", "pair_id", _WORD_GRAMS.format("w"))}, {_counts("bw", f"(SELECT pair_id, {WORDS.format(norm_of('x'))} AS w FROM c)", "pair_id", _WORD_GRAMS.format("w"))},
+dd AS (SELECT pair_id, sum(aw.c * bw.c) AS dot FROM aw JOIN bw USING (pair_id, g) GROUP BY pair_id)
+SELECT c.pair_id, {R.format("coalesce(dot / (aw_n.n * bw_n.n), 0.0)")} AS lexical FROM c LEFT JOIN dd USING (pair_id) LEFT JOIN aw_n USING (pair_id) LEFT JOIN bw_n USING (pair_id)""",
+    "tenant_search": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 1), s AS (SELECT q.vec_id AS query, c.vec_id AS passage, {R.format("list_cosine_similarity(q.v, c.v)")} AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query, passage, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank FROM s QUALIFY rank <= 5""",
+    "ingest_batch": f"""WITH {_tiles("doc_id", "documents", _TOKENS)}, {_windows("win", "doc_id", 120, 96)}, n AS (SELECT doc_id, count(*) AS n FROM win GROUP BY doc_id),
+h AS (SELECT source AS workspace_id, doc_id AS document_id, sha256(text) AS sha FROM documents),
+o AS (SELECT workspace_id, sha, min(document_id) FILTER (document_id % 2 = 0) AS old, min(document_id) AS first FROM h GROUP BY ALL)
+SELECT workspace_id, document_id, coalesce(old, first) AS stored_id, NOT (old IS NULL AND document_id = first) AS duplicate, CASE WHEN old IS NULL AND document_id = first THEN coalesce(n, 0) ELSE 0 END AS passages FROM h JOIN o USING (workspace_id, sha) LEFT JOIN n ON n.doc_id = document_id""",
+    "lookup_by_hash": "SELECT doc_id, source FROM documents WHERE (source, sha256(text)) IN (SELECT (source, sha256(text)) FROM documents WHERE doc_id % 5 = 0)",
+    "replace_passages": f"""WITH {_tiles("doc_id", "documents", _TOKENS)}, {_windows("w1", "doc_id", 120, 96)}, {_windows("w2", "doc_id", 60, 48)} SELECT doc_id || ':' || start || ':' || "end" AS passage_id, doc_id, start, "end" FROM (SELECT * FROM w1 WHERE doc_id % 10 <> 0 OR doc_id NOT IN (SELECT doc_id FROM w2) UNION ALL SELECT * FROM w2 WHERE doc_id % 10 = 0)""",
+    "cascade_delete": f"""WITH {_tiles("doc_id", "documents", _TOKENS)}, {_windows("win", "doc_id", 120, 96)} SELECT doc_id, count(*) AS n FROM win WHERE doc_id % 9 <> 0 GROUP BY doc_id""",
+    "ensure_workspaces": "SELECT source AS workspace_id, CASE WHEN count(*) FILTER (doc_id % 40 = 0) > 0 THEN 'known' END AS origin FROM documents GROUP BY source",
+    "missing_parents": "SELECT DISTINCT user_id AS c_custkey FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)",
+    "repeated_texts": "SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1",
+    "feedback_by_decision": "SELECT CASE event_type WHEN 'click' THEN 'accepted_match' WHEN 'view' THEN 'dismissed' WHEN 'purchase' THEN 'properly_cited' WHEN 'signup' THEN 'common_phrase' END AS decision, count(*) AS n FROM events GROUP BY 1 HAVING decision IS NOT NULL",
+    "job_states": r"""WITH d AS (SELECT source AS workspace_id, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), f AS (SELECT *, doc_id % 5 = 0 OR t = '' OR length(t) > 500000 AS failed FROM d), m AS (SELECT workspace_id, t, min(doc_id) AS stored FROM f WHERE NOT failed GROUP BY ALL)
+SELECT workspace_id, doc_id AS job_id, CASE WHEN failed THEN 'failed' ELSE 'ready' END AS status, CASE WHEN NOT failed THEN CAST(stored AS VARCHAR) END AS document_id, CASE WHEN failed THEN 'document_extraction_failed' END AS error_code FROM f LEFT JOIN m USING (workspace_id, t)""",
+    "extract_text": r"""SELECT doc_id, CASE WHEN doc_id % 7 > 0 AND t <> '' THEN sha256(t) END AS text_sha, CASE WHEN doc_id % 7 = 0 AND length(text) = 0 THEN 'document is empty' WHEN doc_id % 7 = 0 THEN 'file extension does not match PDF content' WHEN text = '' THEN 'document is empty' WHEN t = '' THEN 'document contains no extractable text' END AS error FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""",
+    "request_ids": r"SELECT event_id, regexp_full_match(event_type || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '-' END || user_id, '[\p{L}\p{N}._-]{1,64}') AS valid FROM events",
+    "invalid_requests": r"""SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN NOT length(regexp_replace(substring(text, 1, 300), '^\s+|\s+$', '', 'g')) BETWEEN 3 AND 100000 THEN 'query must have 3 to 100000 characters' ELSE 'top_k must be 1 to 100' END AS error FROM documents WHERE NOT length(regexp_replace(substring(text, 1, 300), '^\s+|\s+$', '', 'g')) BETWEEN 3 AND 100000 OR NOT doc_id % 120 BETWEEN 1 AND 100""",
+    "invalid_annotations": """WITH a AS (SELECT event_id, event_id % 10 - 1 AS cs, event_id % 7 AS ce, CASE WHEN event_id % 4 > 0 THEN event_id % 5 END AS ss, CASE WHEN event_id % 3 > 0 THEN event_id % 6 END AS se FROM events),
+b AS (SELECT event_id, CASE WHEN cs < 0 THEN 'candidate_start must not be negative' WHEN ce <= cs THEN 'candidate interval must not be empty' WHEN (ss IS NULL) <> (se IS NULL) THEN 'source interval must be whole' WHEN se <= ss THEN 'source interval must be proper' END AS error FROM a) SELECT * FROM b WHERE error IS NOT NULL""",
+    "invalid_pairs": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS pair_id, doc_id % 6 > 0 AND source <> '' AS g, trim(substring(text, 1, 20), ' ') <> '' AS s, doc_id % 9 > 0 AS c, quality + toxic IN (0, 1) AS l FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT pair_id, CASE WHEN NOT g THEN 'group_id must not be empty' WHEN NOT s THEN 'source must not be empty' WHEN NOT c THEN 'candidate must not be empty' WHEN NOT l THEN 'label must be 0 or 1' END AS error FROM a) SELECT * FROM b WHERE error IS NOT NULL""",
+    "invalid_scores": "SELECT event_id, 'score must be finite' AS error FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0",
+    "api_key_lookup": "SELECT event_id, c_nationkey AS workspace_id FROM events LEFT JOIN customer ON c_custkey = user_id",
+    "dataset_totals": f"WITH {_LABELLED} SELECT count(*) AS pairs, CAST(sum(label) AS BIGINT) AS positive_pairs, CAST(sum(1 - label) AS BIGINT) AS negative_pairs, count(DISTINCT group_id) AS unique_source_groups FROM lab",
+    "report_counts": f"WITH {_LABELLED}, ok AS (SELECT lab.* FROM lab WHERE len({WORDS.format(norm_of('source'))}) >= 3 AND len({WORDS.format(norm_of('candidate'))}) >= 3) SELECT count(*) AS examples, count(DISTINCT group_id) AS unique_groups, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, 'pairwise_tfidf_style_v2' AS methods FROM ok",
+    "model_benchmark": _BENCHMARK,
+    "score_union": f"WITH {SCORED} SELECT round_even(avg(score) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS mean, round_even(quantile_disc(score, 0.5) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS p50, round_even(quantile_disc(score, 0.95) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE AS p95 FROM scored",
+    "stored_split": "SELECT doc_id, lang, CASE WHEN doc_id % 5 < 4 THEN 'train' ELSE 'test' END AS partition FROM documents",
+    "clean_text": rf"""SELECT doc_id, sha256(array_to_string(list_filter(regexp_split_to_array(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda w: w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in _STOP)})), ' ')) AS clean_sha FROM documents""",
+    "sentence_blocks": rf"""WITH {_BLOCKS} SELECT doc_id, block, sha256(text) AS text_sha FROM b""",
+    "chunk_verdicts": f"WITH {_BLOCKS}, p AS (SELECT doc_id, CAST(length(text) % 101 AS DOUBLE) AS p FROM b), a AS (SELECT doc_id, avg(p) AS mean, median(p) AS median, avg(CASE WHEN p >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM p GROUP BY doc_id) SELECT doc_id, {R.format('mean')} AS mean, {R.format('median')} AS median, {R.format('share')} AS share, mean >= 60 OR median >= 60 OR share >= 0.4::DOUBLE AS detected FROM a",
+    "null_counts": "SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props', 'side']) AS \"column\", unnest([count(*) FILTER (event_id IS NULL), count(*) FILTER (ts IS NULL), count(*) FILTER (user_id IS NULL), count(*) FILTER (event_type IS NULL), count(*) FILTER (value IS NULL), count(*) FILTER (props IS NULL), count(*) FILTER (user_id % 2 <> 0 OR user_id IS NULL)]) AS nulls FROM events",
+    "text_size": "SELECT doc_id, length(text) AS character_count FROM documents",
+    "rate_limiter": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS r FROM events),
+l AS (SELECT user_id, event_id, r, true AS allowed, [t] AS held FROM e WHERE r = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.r, len(list_filter(held, lambda x: e.t - x < 86400.0::DOUBLE)) < 2, CASE WHEN len(list_filter(held, lambda x: e.t - x < 86400.0::DOUBLE)) < 2 THEN list_append(list_filter(held, lambda x: e.t - x < 86400.0::DOUBLE), e.t) ELSE list_filter(held, lambda x: e.t - x < 86400.0::DOUBLE) END FROM l JOIN e ON e.user_id = l.user_id AND e.r = l.r + 1)
+SELECT event_id, user_id, allowed FROM l""",
     "tenant_documents": "SELECT doc_id, source, sha256(text) AS sha FROM documents WHERE source = (SELECT min(source) FROM documents)",
     "upsert_documents": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'stored' END AS status FROM documents",
     "referential_violations": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)",
     "job_latest_status": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "counters_prometheus": """SELECT 'events_total{event_type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""",
+    "counters_prometheus": """WITH c AS (SELECT 'events_total{event_type="' || event_type || '",side="' || CASE WHEN user_id % 2 = 0 THEN 'even' ELSE '' END || '"}' AS key, count(*) AS c FROM events GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS n, key || ' ' || c AS line FROM c""",
     "label_distribution": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
     "text_length_summary": r"SELECT lang, count(*) AS n, CAST(min(w) AS BIGINT) AS min_words, CAST(max(w) AS BIGINT) AS max_words, CAST(sum(w) AS BIGINT) AS sum_words FROM (SELECT lang, len(regexp_extract_all(text, '\S+')) AS w FROM documents) GROUP BY lang",
     "folded_text": f"SELECT doc_id, sha256({FOLD}) AS folded_sha FROM documents",
