@@ -9,6 +9,10 @@ global order of the tries). Two documents link when den * |A & B| >= num * |A |
    smaller partners. Documents that share a key are put in one block (connected components over
    stars, one edge for each document and key). No link can leave a block. A document with more
    empty parts than its class allows for emits keys of the empty parts too, which keeps this exact.
+   Shingles of passages that very many documents share would chain unlike documents into huge
+   blocks, so a first pass counts all shingles in a sketch of 2^20 buckets, and those in buckets far
+   above the mean take no part in the keys: linked sets differ in at most H shingles, and so in at
+   most H of any part of them, which leaves the argument as it was.
 2. *Prefix trees.* Each block's distinct sets go to one task and are stored in a compressed trie.
    A set walks the trie, carrying the overlap of the shared path, and leaves a subtree when the
    overlap so far plus the smaller remaining length can't reach the need. One walk finds all
@@ -26,6 +30,7 @@ linked with nothing. Repeated rows: equal results. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -45,6 +50,9 @@ BUCKETS_PER_PARTITION = 4
 #: Buckets at least, so that the packed pairs of one task and bucket stay small (16 MB over this).
 LEAST_BUCKETS = 4096
 SKETCH = 64
+#: The counting sketch, and what counts as common in it: over this many times the mean of a bucket, and over this many.
+SKETCH_BITS, SKETCH_SLICES = 20, 64
+COMMON_FACTOR, COMMON_LEAST = 4, 32
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -106,18 +114,21 @@ class SizeClasses:
         least = -(-size * self.num // self.den)
         return range(bisect_left(self.low, least + 1) - 1, bisect_left(self.low, size + 1))
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """The keys of a set; common marks the buckets whose shingles take no part."""
         out = []
+        rest = s[~common[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]]
         for c in self.of(len(s)):
             k = self.parts[c]
             if not k:
                 continue
-            part = ((mix(s + U(0x632BE59BD9B4E019)) >> U(32)) * U(k) >> U(32)).astype(np.int64)
+            part = ((mix(rest + U(0x632BE59BD9B4E019)) >> U(32)) * U(k) >> U(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(mix(s[order] + U(c)), first)
-            out.append(mix(sums ^ mix(part[first].astype(U) + U(c << 32))))
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+            if len(first):
+                sums = np.add.reduceat(mix(rest[order] + U(c)), first)
+                out.append(mix(sums ^ mix(part[first].astype(U) + U(c << 32))))
             if k - len(first) > self.empty[c]:
                 none = np.setdiff1d(np.arange(k), part[first]).astype(U)
                 out.append(mix(mix(none + U(c << 32)) ^ U(0x5851F42D4C957F2D)))
@@ -227,7 +238,46 @@ def _batch(names: list[str], rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[c]) if c in columns else pa.nulls(rows, _TYPES[c]) for c in names], names=names)
 
 
-def _key_blobs(batches, n: int, num: int, den: int, buckets: int):
+def _counted(batches, n: int):
+    """The counts of a task's shingles by bucket, in compressed slices."""
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in batches:
+        sets = [s for _, s in document_sets(batch.column(0), n)]
+        if sets:
+            counts += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+    if counts.any():
+        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, SKETCH_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+
+def _summed(batches):
+    """Adds up the slices, which come sorted by their number."""
+    at, total = None, None
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts = np.frombuffer(zlib.decompress(raw.as_buffer()), np.int64)
+            if k != at:
+                if at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+                at, total = k, counts.copy()
+            else:
+                total += counts
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+
+def common_buckets(base: DataFrame, n: int) -> np.ndarray:
+    """Which buckets of the sketch hold far more shingles of the corpus than the mean; the sketch has a fixed size, whatever the corpus."""
+    kind = "slice int, counts binary"
+    sums = base.select("text").mapInArrow(lambda it: _counted(it, n), kind).repartition(SKETCH_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_summed, kind)
+    counts = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int64)
+    for k, raw in sums.collect():
+        counts[k] += np.frombuffer(zlib.decompress(raw), np.int64)
+    counts = counts.ravel()
+    return counts > max(COMMON_FACTOR * counts.mean(), COMMON_LEAST)
+
+
+def _key_blobs(batches, n: int, num: int, den: int, buckets: int, packed_common: bytes):
     """Rows of documents, local edges, and packed (key, set) pairs for each bucket of keys.
 
     Of all sets of a task that share a key only the least goes on under the key; the others get
@@ -235,6 +285,7 @@ def _key_blobs(batches, n: int, num: int, den: int, buckets: int):
     """
     names = list(_TYPES)
     classes = SizeClasses(num, den)
+    common = np.unpackbits(np.frombuffer(packed_common, np.uint8)).astype(bool)
     held: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
     count, turn = 0, 0
@@ -269,7 +320,7 @@ def _key_blobs(batches, n: int, num: int, den: int, buckets: int):
             f1.append(a)
             f2.append(b)
             if len(s):
-                ks = classes.keys(s)
+                ks = classes.keys(s, common)
                 if len(ks):
                     held.append(ks)
                     nodes.append(np.full(len(ks), a, np.int64))
@@ -413,7 +464,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     buckets = max(parts * BUCKETS_PER_PARTITION, LEAST_BUCKETS)
     # no column of docs but these two goes on, whatever the others are called
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets), PAIRS)
+    common = np.packbits(common_buckets(base, n)).tobytes()  # 128 KB
+    blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets, common), PAIRS)
     found = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "doc_id long, n long, f1 long, f2 long, other long"))
     del blobs
     tidy(spark)  # the keys are the largest thing on disk, and done with
