@@ -12,7 +12,13 @@ of over ``max_inflated`` bytes is inflated as a stream and scanned in overlappin
 ``n_oversize``). Fixed limits there keep a hostile text from growing without end: a run of over 16
 times ``max_inflated`` is decoded in pieces, and streams within streams are inflated 20 deep.
 
-Defined cases: null text counts as empty; repeated rows give equal results; extra columns are ignored.
+Base64 is read from each of the first four characters of its run, since a path or another word may
+stand directly before it, and lines of one wrapped stretch are read together.
+
+Defined cases: null text counts as empty; repeated rows give equal results; very long texts are read
+whole, in time linear in their length for each layer; where several codings lead to one find, the
+way of least depth is told, then the first by name; an empty table gives no rows; null ids stay null;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +46,14 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 #: Any keyword of ASSIGN begins with one of these; texts without them skip it.
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-URL_RUN = re.compile(r"[A-Za-z0-9._~+/=:&?-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?-]*)+")
+#: A run starts where no character of its class stands before it, and gives nothing back: linear in any text.
+URL_RUN = re.compile(r"(?<![A-Za-z0-9._~+/=:&?-])[A-Za-z0-9._~+/=:&?-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?-]*+)++")
 #: Whole stretches of escapes and the printable text around them; those without an escape are no runs.
 UNICODE_RUN = re.compile(r"(?:[\x20-\x5b\x5d-\x7e]+|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The shortest secret has 12 characters, so 16 in base64: shorter runs hide none.
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Base64 in lines of 40 or more.
+WRAPPED_RUN = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)++[A-Za-z0-9+/]++={0,2}")
 #: First bytes of gzip and of zlib data without a dictionary.
 HEADS = re.compile(b"|".join([rb"\x1f\x8b\x08", *(re.escape(bytes((c, f))) for c in range(0x08, 0x80, 0x10) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 0x20)]))
 #: What ends every run of an encoding.
@@ -143,6 +153,20 @@ def _sources(run: str) -> list[int]:
     return [*out, *range(at, len(run) + 1)]
 
 
+#: Bytes that look like text: data that starts where the run does.
+PLAIN = re.compile(rb"[\x09\x0a\x0d\x20-\x7e]*")
+
+
+def _unpacked(body: str) -> bytes:
+    """The bytes of base64 without its filling; a last character that says nothing is left out."""
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
 def decoded_runs(text: str, limit: int, inside: bool = False):
     """(start, end, name of the coding, decoded text) of the encoded runs of one layer; before the windows of one past the limit, the text is None. inside: a decoded layer, which may hold compressed bytes."""
     if "%" in text:
@@ -154,16 +178,17 @@ def decoded_runs(text: str, limit: int, inside: bool = False):
         for m in UNICODE_RUN.finditer(text):
             if "\\" in m[0]:
                 yield m.start(), m.end(), "unicode", ESCAPE.sub(_escaped, m[0])
-    for m in BASE64_RUN.finditer(text):
-        run = m[0]
+    runs = [(m.start(), m.end(), m[0]) for m in BASE64_RUN.finditer(text)]
+    if "\n" in text:
+        runs += [(m.start(), m.end(), m[0].replace("\r", "").replace("\n", "")) for m in WRAPPED_RUN.finditer(text)]
+    for a, b, run in runs:
         body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
-            continue  # no base64 length; or a plain word
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        yield m.start(), m.end(), "base64", _text(raw)
+        for phase in range(4):  # what stands before the data, such as a path, may have any length
+            raw = _unpacked(body[phase:])
+            if raw:
+                yield a, b, "base64", _text(raw)
+                if not phase and PLAIN.fullmatch(raw):
+                    break
     if inside:
         raw = text.encode("latin-1", "replace")
         for m in HEADS.finditer(raw):
