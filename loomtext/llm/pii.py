@@ -15,8 +15,10 @@
 
 Terms are runs of four or more letters, in lower case. Offsets are code points, ends exclusive.
 Defined cases: null text counts as empty; an entity in every document has no information to lose
-(disclosure 0); overlapping terms inside base spans are not added; equal rows get equal results;
-extra columns, whatever their names, pass through ``sanitise`` and are ignored by ``find``.
+(disclosure 0); overlapping terms inside base spans are not added; equal rows get equal results, each
+its own row; very long texts are read whole; a term that several entities of a document share takes
+the highest disclosure; empty tables give no rows; null ids stay null; extra columns, whatever their
+names, pass through ``sanitise`` and are ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -155,31 +157,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, reach: int = 80, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """docs with every span in the text replaced by its tag (overlapping ones by the first's) and n_chars, if there, set anew; other rows are as they were."""
+    fresh = lambda name: next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n.lower() not in {c.lower() for c in docs.columns})
+    a_id, a_key, a_spans, base, made = (fresh(x) for x in ("a_id", "a_key", "a_spans", "base_spans", "made_text"))
     _, added = _analysed(docs, id_col, text_col, prior, reach, generalise_at, remove_at)
     added = cut(added)
-    side = added.select(F.col("doc_id").alias("__a_id"), F.col("key").alias("__a_key"), F.col("added").alias("__added"))
+    side = added.select(F.col("doc_id").alias(a_id), F.col("key").alias(a_key), F.col("added").alias(a_spans))
     if added.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     names = docs.columns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__spans", base_spans(text))
-    on = (F.col(id_col).cast("long").eqNullSafe(F.col("__a_id"))) & (F.xxhash64(text) == F.col("__a_key"))
+    rows = docs.withColumn(base, base_spans(text))
+    on = (F.col(id_col).cast("long").eqNullSafe(F.col(a_id))) & (F.xxhash64(text) == F.col(a_key))
     rows = rows.join(side, on, "left")
     tag = F.array(*[F.lit(t) for t in TAGS])
-    every = F.concat("__spans", F.coalesce("__added", F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")))
+    every = F.concat(base, F.coalesce(a_spans, F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")))
     marks = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(tag, s["kind"]).alias("tag"))))
 
     def step(acc, s):
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["tag"]).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     new = F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("__new", F.when(F.size(every) > 0, new).otherwise(F.col(text_col).cast("string")))
+    rows = rows.withColumn(made, F.when(F.size(every) > 0, new).otherwise(F.col(text_col).cast("string")))
     out = []
     for c in names:
         if c == text_col:
-            out.append(F.col("__new").alias(c))
+            out.append(F.col(made).alias(c))
         elif c == "n_chars":
-            out.append(F.when(F.col("__new").isNull(), F.col(c)).otherwise(F.length("__new")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(made).isNull(), F.col(c)).otherwise(F.length(made)).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(c))
     return rows.select(*out)
