@@ -1,7 +1,8 @@
 """Reproducible shuffle into shards by a Feistel permutation with cycle walking over row numbers.
 
 Rows get global numbers 0 to N-1: they are ordered by a hash bucket of (id, size, text crc) and by
-these columns within it; bucket sizes are the only thing gathered, at most ``buckets`` numbers.
+these columns within it; bucket sizes are the only thing gathered, one number for ``BUCKET_ROWS`` rows
+and at most ``MOST_BUCKETS``.
 Equal rows are counted first and numbered as a run, so one key that holds much of the table makes no
 large bucket. A keyed Feistel network permutes the smallest even or odd number of bits that holds N;
 results of N or more walk on through it until they are below N. Position p is slot p // shards of
@@ -22,6 +23,8 @@ from loomtext.llm.vectext import U, mix
 from loomtext.session import ship_package
 
 ROUNDS = 6
+#: Rows to a bucket, and the most buckets: their sizes are what the driver gathers.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1_000_000
 
 
 class FeistelPermutation:
@@ -62,6 +65,7 @@ class FeistelPermutation:
 
 def numbered(rows: DataFrame, columns: list[str], buckets: int) -> tuple[DataFrame, int]:
     """Distinct rows of the columns with their first global number and their count; and the number of all rows."""
+    buckets = max(buckets, min(rows.count() // BUCKET_ROWS, MOST_BUCKETS))
     bucket = F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), F.lit(buckets)).alias("bucket")
     counted = rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("bucket", bucket)
     sizes = dict(rows.groupBy(bucket).count().collect())
