@@ -31,7 +31,7 @@ from loomtext.session import ship_package
 NO_WORD = np.ones(256, bool)
 NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Window masks; each starts and ends with a position that counts.
-MASKS = ("110110011011", "111010110111", "101101101101101", "11111111")
+MASKS = ("110110011011", "111010110111", "101101101101101", "11111111", "11011011", "1110111")
 FILTER_BITS = 22
 
 
