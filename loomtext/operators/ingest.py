@@ -50,8 +50,7 @@ class CorpusTables:
         owner = first.join(stored, own, "left").select(*own, F.coalesce("old_id", "first_id").alias("stored_id"), F.col("old_id").isNull().alias("is_new"))
         placed = keyed.drop("text").join(owner, own)
         new = keyed.join(owner.where("is_new").select("workspace_id", "content_sha256", F.col("stored_id").alias("document_id")), ["workspace_id", "content_sha256", "document_id"], "left_semi").dropDuplicates(["workspace_id", "document_id"])
-        made = segments.token_windows(new, ["workspace_id", "document_id"], "text", max_tokens, max_tokens - overlap)
-        passages = made.withColumn("passage_id", F.concat_ws(":", F.col("document_id").cast("string"), F.col("start").cast("string"), F.col("end").cast("string")))
+        passages = segments.passages(new, ["workspace_id", "document_id"], "text", max_tokens, overlap).withColumn("passage_id", segments.passage_id("document_id"))
         rows = new.select("workspace_id", "document_id", "content_sha256", "filename", F.length("text").cast("long").alias("character_count"), F.lit("ready").alias("status"))
         tables = CorpusTables(self.documents.unionByName(rows), self.passages.unionByName(passages.select(*self.passages.columns)))
         counted = passages.groupBy("workspace_id", F.col("document_id").alias("stored_id")).agg(F.count("*").alias("n"))

@@ -49,7 +49,7 @@ def segment_spans(spark, sf):
 
 
 def chunk_spans(spark, sf):
-    return segments.chunks(_docs(spark, sf))
+    return segments.chunks(_docs(spark, sf)).select("passage_id", "doc_id", "start", "end", F.sha2("text", 256).alias("text_sha"))
 
 
 def segment_windows(spark, sf):
@@ -287,7 +287,7 @@ def lookup_by_hash(spark, sf):
 
 def replace_passages(spark, sf):
     d = _docs(spark, sf)
-    return corpus.replace_children(segments.chunks(d), segments.chunks(d.where("doc_id % 10 = 0"), max_tokens=60, overlap=12), ["doc_id"], d)
+    return corpus.replace_children(segments.chunks(d), segments.chunks(d.where("doc_id % 10 = 0"), max_tokens=60, overlap=12), ["doc_id"], d).drop("text")
 
 
 def cascade_delete(spark, sf):
@@ -465,8 +465,7 @@ def text_size(spark, sf):
 def corpus_service(spark, sf):
     """Chunks of all documents as passages, numbered by document and place; BM25 over them."""
     d = _docs(spark, sf)
-    places = segments.chunks(d).select("doc_id", "start", "end", (F.col("doc_id") * 1_000_000 + F.col("start")).alias("passage_id"))
-    texts = places.join(d.select("doc_id", "text"), "doc_id").select("passage_id", F.expr("substring(text, int(start) + 1, int(end - start))").alias("text"))
+    texts = segments.chunks(d).select((F.col("doc_id") * 1_000_000 + F.col("start")).alias("passage_id"), "text")
     found = retrieval.HybridRetriever()
     return found.search(found.index(texts), _items(spark, sf), "item_id", 5, 50).select("query", "passage", "lexical_rank", "score", "rank", "method")
 
