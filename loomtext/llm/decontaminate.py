@@ -145,7 +145,7 @@ def indexes(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
         yield build_index([(r[0], r[1]) for r in part.orderBy("i", "t").toLocalIterator()])
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 20_000_000) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 3_000_000) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, n_equal, n_compared, doc_word, item_word."""
     ship_package(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -168,7 +168,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, id
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 20_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 3_000_000) -> DataFrame:
     """The rows of docs that overlap with no item, with all their columns, one pass for each block of the benchmark."""
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
