@@ -474,8 +474,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
 
     same = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     members = cut(same.join(blocks, same.f1 == blocks.node).select("rep", "f1", "f2", "n", F.col("label").alias("block")))
-    large = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks")).where("chunks > 1")
-    side = members.join(large, "block", "left").select("rep", "f1", "f2", "block", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    large = cut(members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks")).where("chunks > 1"))
+    # one row for each block that is cut: few, and as a broadcast they don't deal the members out by a hot block
+    side = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "block", "left").select("rep", "f1", "f2", "block", F.coalesce("chunks", F.lit(1)).alias("chunks"))
     joined = base.join(F.broadcast(side) if members.count() <= BROADCAST_ROWS else side, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "f1", "f2", "block", "chunks")
     sets = joined.mapInArrow(lambda it: _sets_of_members(it, n), "block long, a int, b int, doc_id long, elements binary")
     links = sets.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(lambda it: _linked_members(it, num, den), "doc_id long, label long")
