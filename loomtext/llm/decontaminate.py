@@ -33,6 +33,8 @@ NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = F
 #: Window masks; each starts and ends with a position that counts.
 MASKS = ("110110011011", "111010110111", "101101101101101", "11111111", "11011011", "1110111")
 FILTER_BITS = 22
+#: Hits expanded at a time.
+EXPANDED = 1 << 20
 
 
 def words_of(texts: pa.Array):
@@ -109,7 +111,7 @@ def overlaps(texts: pa.Array, index: SeedIndex, filters: list[np.ndarray], min_w
     """(row, item number, equal words, words compared, first word in the document, first word in the item), the best of each row and item."""
     for first, n, words, at in words_of(texts):
         row_of = np.repeat(np.arange(n), np.diff(at))
-        seen = set()
+        found = [np.zeros(0, np.int64)]  # row, item and diagonal of the hits in one number, each once
         for mask, hashes, places, sieve in zip(index.masks, index.hashes, index.places, filters, strict=True):
             h = masked(words, mask)
             if not len(h) or not len(hashes):
@@ -118,10 +120,19 @@ def overlaps(texts: pa.Array, index: SeedIndex, filters: list[np.ndarray], min_w
             hit = hit[row_of[hit] == row_of[hit + len(mask) - 1]]
             lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
             some = np.flatnonzero(hi > lo)
-            many = (hi - lo)[some]
-            where = np.repeat(hit[some], many)
-            which = places[np.repeat(lo[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            seen.update(zip(row_of[where].tolist(), which[:, 0].tolist(), (where - which[:, 1]).tolist(), strict=True))
+            ends = np.cumsum((hi - lo)[some])
+            a = 0
+            while a < len(some):  # a word that is repeated often on both sides meets itself in bounded parts
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + EXPANDED, "right")))
+                part = some[a:b]
+                many = (hi - lo)[part]
+                where = np.repeat(hit[part], many)
+                which = places[np.repeat(lo[part], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                found.append(np.unique((row_of[where] * len(index.items) + which[:, 0] << 32) + (where - which[:, 1] + (1 << 31))))
+                a = b
+        codes = np.unique(np.concatenate(found))
+        seen = zip((codes >> 32) // len(index.items), (codes >> 32) % len(index.items), (codes & 0xFFFFFFFF) - (1 << 31), strict=True) if len(codes) else ()
+        seen = [(int(r), int(k), int(d)) for r, k, d in seen]
         best: dict[tuple[int, int], tuple] = {}
         for r, k, diagonal in seen:
             item = index.words[k]
