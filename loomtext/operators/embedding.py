@@ -73,6 +73,44 @@ class HashingEmbedder:
         return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+class TransformerEmbedder:
+    """A sentence encoder by the name of its model, loaded when a worker first needs it; needs the optional package sentence_transformers."""
+
+    def __init__(self, model: str, dims: int) -> None:
+        self.model, self.dims, self.name = model, dims, model
+        self._loaded = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_loaded": None}  # a loaded model stays in its process
+
+    def vectors(self, texts: list[str]) -> np.ndarray:
+        if self._loaded is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._loaded = SentenceTransformer(self.model)
+        return np.asarray(self._loaded.encode(list(texts), normalize_embeddings=True), float)
+
+    encode = vectors
+
+
+class TransformerReranker:
+    """A cross-encoder by the name of its model, loaded when a worker first needs it; needs the same optional package."""
+
+    def __init__(self, model: str) -> None:
+        self.model, self.name = model, model
+        self._loaded = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_loaded": None}
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        if self._loaded is None:
+            from sentence_transformers import CrossEncoder
+
+            self._loaded = CrossEncoder(self.model)
+        return [float(x) for x in self._loaded.predict([(query, p) for p in passages])]
+
+
 def encoder(embedder, batch: int = 256) -> Callable[[Column], Column]:
     """A column function that embeds texts; null gives null. The embedder must return as many vectors as texts."""
 

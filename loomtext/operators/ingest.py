@@ -81,6 +81,10 @@ class JobLog:
         rows = changes.join(names.withColumn("there", F.lit(True)), ["workspace_id", "job_id"], "left").withColumn("status", F.when(F.col("there"), F.col("status")).otherwise(lost))
         return JobLog(self.log.unionByName(rows.select(*self.log.columns)))
 
+    def get(self, workspace_id: str, job_id) -> DataFrame:
+        """The state of one job; no row where the workspace has no such job."""
+        return JobLog(corpus.Tenant(workspace_id).of(self.log).where(F.col("job_id") == F.lit(job_id))).state()
+
     def state(self) -> DataFrame:
         return corpus.latest(self.log, ["workspace_id", "job_id"], ["step"])
 

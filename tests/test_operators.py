@@ -1,4 +1,5 @@
 import hashlib
+import importlib.util
 import math
 import random
 import re
@@ -213,6 +214,7 @@ def test_jobs_and_feedback(spark):
     text = " ".join(f"token{i}" for i in range(12))
     up = spark.createDataFrame([("w", 1, "a.txt", text.encode()), ("w", 2, "b.txt", text.encode()), ("v", 3, "c.txt", text.encode()), ("w", 4, "d.exe", b"x"), ("w", 5, "e.txt", None)], "workspace_id string, job_id long, filename string, content binary")
     tables, log = ingest.run_jobs(none, up, 8, 2)
+    assert ingest.JobLog(log).get("w", 4).first().status == "failed" and ingest.JobLog(log).get("v", 4).isEmpty()
     state = {r.job_id: (r.status, r.document_id, r.error_code) for r in ingest.JobLog(log).state().collect()}
     assert state == {1: ("ready", "1", None), 2: ("ready", "1", None), 3: ("ready", "3", None), 4: ("failed", None, "document_extraction_failed"), 5: ("failed", None, "document_extraction_failed")}
     assert tables.documents.count() == 2 and tables.passages.where("workspace_id = 'w'").count() == 2
@@ -251,6 +253,26 @@ def test_code_is_normalised():
     assert legacy.normalised_code(a) == legacy.normalised_code(b) and legacy.normalised_code("class {") == "class {"
 
 
+def test_artifacts_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"alpha beta w{i % 3}", i % 2) for i in range(8)], "id long, clean string, label int")
+    model = legacy.tfidf(50).fit(rows)
+    split = spark.createDataFrame([("train", 1), ("test", 2)], "partition string, index long")
+    legacy.save_artifacts(str(tmp_path / "a"), model, rows, split)
+    again, back, parts = legacy.load_artifacts(spark, str(tmp_path / "a"))
+    key = lambda m: [str(r.features) for r in m.transform(rows).orderBy("id").collect()]
+    assert key(again) == key(model) and back.count() == 8 and sorted(map(tuple, parts.collect())) == [("test", 2), ("train", 1)]
+
+
+def test_optional_models_load_late():
+    import pickle
+
+    e, r = embedding.TransformerEmbedder("some-model", 8), embedding.TransformerReranker("other-model")
+    assert pickle.loads(pickle.dumps(e)).name == "some-model" and pickle.loads(pickle.dumps(r)).name == "other-model"
+    if importlib.util.find_spec("sentence_transformers") is None:
+        with pytest.raises(ModuleNotFoundError):
+            e.vectors(["text"])
+
+
 def test_most_similar_code(spark):
     s = spark.createDataFrame([("def f(x):\n    return x + 1",), ("print('other')",), (None,)], "code string")
     assert legacy.most_similar_code("def g(y):\n    return y + 1", s).first().is_copy
