@@ -214,6 +214,8 @@ k AS (SELECT doc_id, start, start + length(seg) AS "end", {_N} AS n_tokens FROM
 w AS (SELECT doc_id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS start, {_STRIP.format("text")} AS seg FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k))
 SELECT * FROM k UNION ALL SELECT doc_id, start, start + length(seg), {_N} FROM w WHERE {_N} > 0""",
     "chunk_spans": f"""WITH {_tiles("doc_id", "documents", _TOKENS)}, {_windows("win", "doc_id", 120, 96)} SELECT doc_id || ':' || start || ':' || "end" AS passage_id, doc_id, start, "end", sha256(substring(text, start + 1, "end" - start)) AS text_sha FROM win JOIN documents USING (doc_id)""",
+    "corpus_service": f"""WITH {_tiles("doc_id", "documents", _TOKENS)}, {_windows("win", "doc_id", 120, 96)}, pas AS (SELECT doc_id * 1000000 + start AS doc_id, substring(text, start + 1, "end" - start) AS text FROM win JOIN documents USING (doc_id)),
+{_bm25(5).replace("FROM documents", "FROM pas")} SELECT query, passage, rank AS lexical_rank, round_even(1.0::DOUBLE / (rank + 60) * 1000000000.0::DOUBLE, 0) / 1000000000.0::DOUBLE AS score, rank, 'bm25' AS method FROM bm""",
     "segment_windows": f"""WITH {_tiles("item_id", "benchmark", _TOKENS)}, {_windows("win", "item_id", 16, 8)} SELECT item_id, start, "end" FROM win""",
     "word_features": _top("list_concat(list_transform(w, lambda x: 'w:' || x), list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1]))", ""),
     "char_features": _top("list_concat(list_concat(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3)), list_transform(range(1, length(f) - 2), lambda i: substring(f, i, 4))), list_transform(range(1, length(f) - 3), lambda i: substring(f, i, 5)))", "length(feature), "),
