@@ -65,7 +65,7 @@ class LexicalScorer:
     name = "lexical"
 
     def scores(self, pairs: DataFrame) -> DataFrame:
-        return _scored(pairs, lambda s, c: round(pairwise.whole_similarities(s, c)[0] * 1e6) / 1e6)
+        return _scored(pairs, lambda s, c: round(pairwise.lexical_similarity(s, c) * 1e6) / 1e6)
 
 
 class EmbeddingScorer:

@@ -87,6 +87,13 @@ def select_evidence(matches: list[dict], limit: int) -> list[dict]:
     return taken
 
 
+def lexical_similarity(source: str, candidate: str) -> float:
+    """Cosine of the counts of words and neighbours of two whole texts."""
+    coder = features.Coder()
+    a, b = (coder.word_bags([features.words(t)])[0] for t in (source, candidate))
+    return float(features.cosines(a, b)[0, 0])
+
+
 def whole_similarities(source: str, candidate: str) -> tuple[float, float, float]:
     """(lexical, character, containment) of two whole texts."""
     coder = features.Coder()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,7 +130,7 @@ class LexicalReranker:
     name = "lexical"
 
     def score(self, query: str, passages: list[str]) -> list[float]:
-        return [round(pairwise.whole_similarities(query, p)[0] * 1e6) / 1e6 for p in passages]
+        return [round(pairwise.lexical_similarity(query, p) * 1e6) / 1e6 for p in passages]
 
 
 def rerank_blend(spark, sf):
