@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.session import cut
+from loomtext.session import cut, tidy
 
 
 #: Parts into which the nodes under one hub are dealt.
@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         jumps = up.join(moved.select("v").distinct(), up.p == F.col("v"), "left_semi").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = moved.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
         e = cut(salted.join(jumps, (salted.v == jumps.p) & (salted.salt == jumps.s), "left").select("u", F.coalesce("pm", "v").alias("v"), (F.col("changed") | F.col("pm").isNotNull()).alias("changed")))
-        if not e.agg(F.count_if("changed")).first()[0]:
+        more = e.agg(F.count_if("changed")).first()[0]
+        tidy(edges.sparkSession)  # what the round before left in the driver and on disk
+        if not more:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

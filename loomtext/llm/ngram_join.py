@@ -12,14 +12,18 @@ global order of the tries). Two documents link when den * |A & B| >= num * |A |
    Shingles of passages that very many documents share would chain unlike documents into huge
    blocks, so a first pass counts all shingles in a sketch of 2^20 buckets, and those in buckets far
    above the mean take no part in the keys: linked sets differ in at most H shingles, and so in at
-   most H of any part of them, which leaves the argument as it was.
+   most H of any part of them, which leaves the argument as it was. In a large corpus every
+   bucket holds many shingles, and a passage of some hundred documents doesn't show. So the sets
+   of blocks over ``chunk_shingles`` are counted and given keys again, among themselves and with
+   other hashes, as long as that makes their blocks smaller; links stay within the new blocks too.
 2. *Prefix trees.* Each block's distinct sets go to one task and are stored in a compressed trie.
    A set walks the trie, carrying the overlap of the shared path, and leaves a subtree when the
    overlap so far plus the smaller remaining length can't reach the need. One walk finds all
    partners of a set; subtrees of sets known to be in its component are not entered, and the sets
    found walk next, so a group of near copies costs about one walk.
-   Blocks with more shingles than ``chunk_shingles`` are cut into chunks and every pair of chunks
-   gets a task of its own: nothing is capped.
+   Blocks that stay over ``chunk_shingles`` are cut into chunks and every pair of chunks gets a
+   task of its own: nothing is capped. The pairs go in waves, each of which sends about as many
+   shingles as the corpus has, so the disk they take doesn't grow with the number of chunks.
 3. Sets with equal fingerprints (two 64-bit sums) count as one set throughout.
 
 Defined cases: null or empty text, or white space only: no shingles, linked with nothing, its own
@@ -50,9 +54,11 @@ BUCKETS_PER_PARTITION = 4
 #: Buckets at least, so that the packed pairs of one task and bucket stay small (16 MB over this).
 LEAST_BUCKETS = 4096
 SKETCH = 64
-#: The counting sketch, and what counts as common in it: over this many times the mean of a bucket, and over this many.
+#: The counting sketch, and what counts as common in it: this many times the spread over the median of a bucket, and over this many, in the corpus and in large blocks.
 SKETCH_BITS, SKETCH_SLICES = 20, 64
-COMMON_FACTOR, COMMON_LEAST = 4, 32
+COMMON_SPREAD, COMMON_LEAST, COMMON_IN_BLOCKS = 8, 32, 8
+#: Rounds of new keys for large blocks at most, and the share of their shingles that must leave for another.
+ROUNDS, PROGRESS = 5, 0.1
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -114,15 +120,15 @@ class SizeClasses:
         least = -(-size * self.num // self.den)
         return range(bisect_left(self.low, least + 1) - 1, bisect_left(self.low, size + 1))
 
-    def keys(self, s: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """The keys of a set; common marks the buckets whose shingles take no part."""
+    def keys(self, s: np.ndarray, common: np.ndarray, turn: int = 0) -> np.ndarray:
+        """The keys of a set; common marks the buckets whose shingles take no part. Every turn has other buckets and parts."""
         out = []
-        rest = s[~common[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]]
+        rest = s[~common[sketch_bucket(s, turn)]]
         for c in self.of(len(s)):
             k = self.parts[c]
             if not k:
                 continue
-            part = ((mix(rest + U(0x632BE59BD9B4E019)) >> U(32)) * U(k) >> U(32)).astype(np.int64)
+            part = ((mix(rest + U(0x632BE59BD9B4E019 + turn)) >> U(32)) * U(k) >> U(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
@@ -135,6 +141,10 @@ class SizeClasses:
         return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def sketch_bucket(s: np.ndarray, turn: int) -> np.ndarray:
+    return ((mix(s + U(turn)) if turn else s) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """Counts of the elements by 64 hash classes, at most 255: their L1 distance bounds the symmetric difference from below."""
     return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=SKETCH), 255).astype(np.int16)
@@ -238,13 +248,22 @@ def _batch(names: list[str], rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[c]) if c in columns else pa.nulls(rows, _TYPES[c]) for c in names], names=names)
 
 
-def _counted(batches, n: int):
+def _own_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """(row, set, fingerprint) of every row; where the batch has fingerprints, of the rows that have theirs."""
+    known = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("f1", "f2")] if batch.num_columns > 2 else None
+    for r, s in document_sets(batch.column(1), n):
+        a, b = fingerprint(s)
+        if known is None or (a, b) == (known[0][r], known[1][r]):
+            yield r, s, a, b
+
+
+def _counted(batches, n: int, turn: int):
     """The counts of a task's shingles by bucket, in compressed slices."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        sets = [s for _, s in document_sets(batch.column(0), n)]
+        sets = [s for _, s, _, _ in _own_sets(batch, n)] if turn else [s for _, s in document_sets(batch.column(1), n)]
         if sets:
-            counts += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            counts += np.bincount(sketch_bucket(np.concatenate(sets), turn), minlength=len(counts))
     if counts.any():
         parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, SKETCH_SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
@@ -266,19 +285,21 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
 
-def common_buckets(base: DataFrame, n: int) -> np.ndarray:
-    """Which buckets of the sketch hold far more shingles of the corpus than the mean; the sketch has a fixed size, whatever the corpus."""
+def common_buckets(base: DataFrame, n: int, turn: int = 0) -> np.ndarray:
+    """Which buckets of the sketch hold far more shingles of the corpus (from turn 1 on, of its distinct sets in large blocks) than most; the sketch has a fixed size, whatever the corpus."""
     kind = "slice int, counts binary"
-    sums = base.select("text").mapInArrow(lambda it: _counted(it, n), kind).repartition(SKETCH_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_summed, kind)
+    sums = base.mapInArrow(lambda it: _counted(it, n, turn), kind).repartition(SKETCH_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_summed, kind)
     counts = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int64)
     for k, raw in sums.collect():
         counts[k] += np.frombuffer(zlib.decompress(raw), np.int64)
     counts = counts.ravel()
-    return counts > max(COMMON_FACTOR * counts.mean(), COMMON_LEAST)
+    # buckets of rare shingles alone lie close around the median, the closer the larger the corpus
+    middle, upper = np.quantile(counts, (0.5, 0.84))
+    return counts > max(middle + COMMON_SPREAD * (upper - middle), COMMON_IN_BLOCKS if turn else COMMON_LEAST)
 
 
-def _key_blobs(batches, n: int, num: int, den: int, buckets: int, packed_common: bytes):
-    """Rows of documents, local edges, and packed (key, set) pairs for each bucket of keys.
+def _key_blobs(batches, n: int, num: int, den: int, buckets: int, packed_common: bytes, round_: int = 0):
+    """Rows of documents (in round 0), local edges, and packed (key, set) pairs for each bucket of keys. In later rounds no key holds for two blocks.
 
     Of all sets of a task that share a key only the least goes on under the key; the others get
     an edge to it here. So a key of many documents sends one pair from each task.
@@ -314,13 +335,15 @@ def _key_blobs(batches, n: int, num: int, den: int, buckets: int, packed_common:
 
     for batch in batches:
         sizes, f1, f2 = [], [], []
-        for _, s in document_sets(batch.column(1), n):
-            a, b = fingerprint(s)
+        block = batch.column("block").to_numpy(zero_copy_only=False).view(U) if round_ else None
+        for r, s, a, b in _own_sets(batch, n):
             sizes.append(len(s))
             f1.append(a)
             f2.append(b)
             if len(s):
-                ks = classes.keys(s, common)
+                ks = classes.keys(s, common, round_)
+                if round_:
+                    ks = mix(ks ^ mix(block[r : r + 1]))
                 if len(ks):
                     held.append(ks)
                     nodes.append(np.full(len(ks), a, np.int64))
@@ -329,6 +352,8 @@ def _key_blobs(batches, n: int, num: int, den: int, buckets: int, packed_common:
                 yield from packed()
                 count = 0
         rows = len(sizes)
+        if round_:
+            continue
         # documents go to any bucket: copies of one text would crowd one otherwise
         yield _batch(names, rows, bucket=((np.arange(rows) * 7919 + turn) % buckets).astype(np.int32), doc_id=batch.column(0).cast(pa.int64()), n=sizes, f1=f1, f2=f2)
         turn += rows
@@ -392,7 +417,7 @@ def _sets_of_members(batches, n: int):
     for batch in batches:
         doc, f1, f2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "f1", "f2"))
         block = batch.column("block").to_numpy(zero_copy_only=False)
-        chunks = batch.column("chunks").to_numpy(zero_copy_only=False)
+        chunks, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunks", "low", "high"))
         rows: list[tuple] = []
         held = 0
         names = ["block", "a", "b", "doc_id", "elements"]
@@ -402,10 +427,9 @@ def _sets_of_members(batches, n: int):
                 continue
             c = int(chunks[r])
             own = int(mix(np.array([f2[r]], np.int64).view(U))[0] % c)
-            for other in range(c):
-                if other != own or c == 1:
-                    rows.append((block[r], min(own, other), max(own, other), doc[r], s.tobytes()))
-                    held += s.nbytes
+            for other in {(own + way * far) % c for far in range(low[r], min(high[r], c // 2 + 1)) for way in (1, -1)} if c > 1 else (own,):
+                rows.append((block[r], min(own, other), max(own, other), doc[r], s.tobytes()))
+                held += s.nbytes
             if held > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 rows, held = [], 0
@@ -452,6 +476,73 @@ def _linked_members(batches, num: int, den: int):
         yield flush()
 
 
+def _partitions(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _keyed(base: DataFrame, n: int, num: int, den: int, round_: int = 0) -> DataFrame:
+    """The documents (in round 0) and the edges of sets that share a key."""
+    parts = _partitions(base.sparkSession)
+    buckets = max(parts * BUCKETS_PER_PARTITION, LEAST_BUCKETS)
+    common = np.packbits(common_buckets(base, n, round_)).tobytes()  # 128 KB
+    blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets, common, round_), PAIRS)
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "doc_id long, n long, f1 long, f2 long, other long")
+
+
+def _with_texts(base: DataFrame, side: DataFrame) -> DataFrame:
+    """The rows of side with the texts of their rep, as doc_id and text before the other columns."""
+    some = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    return base.join(some, F.col("doc_id") == F.col("rep")).select("doc_id", "text", *(c for c in side.columns if c != "rep"))
+
+
+def _large(members: DataFrame, chunk_shingles: int) -> DataFrame:
+    return cut(members.groupBy("block").agg(F.sum("n").alias("held")).where(F.col("held") > chunk_shingles).withColumn("chunks", F.ceil(F.col("held") / F.lit(chunk_shingles)).cast("int")))
+
+
+def _beside(members: DataFrame, large: DataFrame, how: str) -> DataFrame:
+    """Joins members with the few large blocks; as a broadcast they don't deal the members out by a hot block."""
+    return members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "block", how)
+
+
+def smaller_blocks(base: DataFrame, members: DataFrame, n: int, num: int, den: int, chunk_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The members with the large blocks split by new keys as far as that goes, and (block, held, chunks) of the blocks that stay large.
+
+    A member that shares no key with another in its block links with nothing, and drops out.
+    """
+    names = ["rep", "f1", "f2", "n", "block"]
+    large = _large(members, chunk_shingles)
+    held = large.agg(F.sum("held")).first()[0] or 0
+    for round_ in range(1, ROUNDS + 1):
+        if not held:
+            break
+        inside = cut(_beside(members, large, "left_semi").select(names))
+        edges = cut(_keyed(_with_texts(base, inside.select("rep", "f1", "f2", "block")), n, num, den, round_))
+        labels = connected_components(edges, "f1", "other")
+        split = inside.drop("block").join(labels, F.col("f1") == F.col("node")).withColumn("block", F.col("label")).select(names)
+        members = cut(_beside(members, large, "left_anti").select(names).unionByName(split))
+        large = _large(members, chunk_shingles)
+        before, held = held, large.agg(F.sum("held")).first()[0] or 0
+        tidy(base.sparkSession)
+        if held > (1 - PROGRESS) * before:
+            break
+    return members, large
+
+
+def _waves(members: DataFrame, large: DataFrame, total: int) -> Iterator[DataFrame]:
+    """rep, f1, f2, block, chunks, low, high of the members for one wave of pairs of chunks after the other.
+
+    A wave has the pairs whose numbers lie low to high - 1 apart, around the circle of chunks; a member goes to two
+    pairs for each distance, and a wave has as many distances as send about total shingles.
+    """
+    most, held = large.agg(F.max("chunks"), F.sum("held")).first()
+    some = F.coalesce("chunks", F.lit(1)).alias("chunks")
+    step = max(1, int(total // (2 * held))) if held else 1
+    far = (most or 1) // 2 + 1
+    for low in range(1, max(far, 2), step):
+        side = _beside(members, large, "left" if low == 1 else "inner").select("rep", "f1", "f2", "block", some).withColumn("low", F.lit(low)).withColumn("high", F.lit(low + step))
+        yield side if low == 1 else side.where(F.floor(F.col("chunks") / 2) >= low)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: see the module for the method and the defined cases.
 
@@ -460,26 +551,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     """
     spark = docs.sparkSession
     ship_package(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = max(parts * BUCKETS_PER_PARTITION, LEAST_BUCKETS)
     # no column of docs but these two goes on, whatever the others are called
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common = np.packbits(common_buckets(base, n)).tobytes()  # 128 KB
-    blobs = base.mapInArrow(lambda it: _key_blobs(it, n, num, den, buckets, common), PAIRS)
-    found = cut(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "doc_id long, n long, f1 long, f2 long, other long"))
-    del blobs
+    found = cut(_keyed(base, n, num, den))
     tidy(spark)  # the keys are the largest thing on disk, and done with
     rows = found.where("other is null").select("doc_id", "n", "f1", "f2")
     blocks = connected_components(found.where("other is not null"), "f1", "other")
 
     same = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     members = cut(same.join(blocks, same.f1 == blocks.node).select("rep", "f1", "f2", "n", F.col("label").alias("block")))
-    large = cut(members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk_shingles)).cast("int").alias("chunks")).where("chunks > 1"))
-    # one row for each block that is cut: few, and as a broadcast they don't deal the members out by a hot block
-    side = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "block", "left").select("rep", "f1", "f2", "block", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-    joined = base.join(F.broadcast(side) if members.count() <= BROADCAST_ROWS else side, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "f1", "f2", "block", "chunks")
-    sets = joined.mapInArrow(lambda it: _sets_of_members(it, n), "block long, a int, b int, doc_id long, elements binary")
-    links = sets.repartition(parts, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(lambda it: _linked_members(it, num, den), "doc_id long, label long")
+    members, large = smaller_blocks(base, members, n, num, den, chunk_shingles)
+    links = None
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    for side in _waves(members, large, total):
+        joined = _with_texts(base, side)
+        sets = joined.mapInArrow(lambda it: _sets_of_members(it, n), "block long, a int, b int, doc_id long, elements binary")
+        some = cut(sets.repartition(_partitions(spark), "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(lambda it: _linked_members(it, num, den), "doc_id long, label long"))
+        links = some if links is None else links.unionByName(some)
+        tidy(spark)
     merged = connected_components(links, "doc_id", "label")
 
     tidy(spark)

@@ -6,6 +6,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -305,6 +306,42 @@ def test_near_duplicates_at_four_fifths_equal_brute_force(spark):
     assert got == brute.components(rows, 5, 4, 5)
 
 
+def test_large_blocks_go_in_waves_of_bounded_size(spark, monkeypatch):
+    """One group of near copies in many chunks: every pair of chunks meets, and no wave sends much more than the corpus."""
+    rng = np.random.default_rng(12)
+    base = list(rng.choice(WORDS, 60))
+    rows = {}
+    for k in range(90):
+        v = list(base) + [f"own{k}"]
+        v[rng.integers(len(base))] = f"edit{k}"
+        rows[k] = " ".join(v)
+    sent, plain = [], ngram_join._with_texts
+
+    def watched(d, side):
+        if "low" in side.columns:
+            sent.append(sum(2 * max(0, min(r.high - 1, r.chunks // 2) - r.low + 1) if r.chunks > 1 else 1 for r in side.collect()))
+        return plain(d, side)
+
+    monkeypatch.setattr(ngram_join, "_with_texts", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(spark, list(rows.items())), 5, 4, 5, chunk_shingles=600).collect()}
+    assert got == brute.components(rows, 5, 4, 5)
+    assert len(sent) > 1 and max(sent) <= 2 * len(rows) and sum(sent) >= 8 * len(rows)
+
+
+def test_a_block_chained_by_passages_is_split(spark):
+    """Passages of few documents each, that the counts of a large corpus don't show, chain unlike texts; counted among themselves they do."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join([f"w{k}x{j}" for j in range(40)] + [p for p in rng.choice([f"passage{q} of some few words" for q in range(4)], 2)]) for k in range(120)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(500, texts[7] + " more")]
+    d = docs(spark, rows)
+    prints = [ngram_join.fingerprint(s) for _, s in ngram_join.document_sets(pa.array([t for _, t in rows]), 5)]
+    sizes = [len(brute.shingles(t, 5)) for _, t in rows]
+    members = spark.createDataFrame([(i, a, b, n, 1) for (i, _), (a, b), n in zip(rows, prints, sizes, strict=True)], "rep long, f1 long, f2 long, n long, block long")
+    split, large = ngram_join.smaller_blocks(d, members, 5, 4, 5, 1000)
+    found = {r.rep: r.block for r in split.collect()}
+    assert large.isEmpty() and found[7] == found[500] and len(found) < 60
+
+
 def test_exact_scores_beyond_doubles(spark):
     rng = np.random.default_rng(3)
     v = [[float(x) for x in r] for r in rng.normal(size=(110, 64)) * 5e5]
