@@ -2,14 +2,19 @@
 
 Vectors lie in blocks, component by component (vertical layout). For a block of queries the scores
 of a block of candidates are accumulated over one group of components after the other; after each
-group a candidate stays for a query only if its sum so far plus the largest possible rest (the
-product of both remaining norms) can reach the query's k-th best lower bound, and the survivors are
-compacted before the next group. Groups are ordered by falling mass, so bounds tighten early.
+group a candidate stays only if its sum so far plus the largest possible rest (the product of both
+remaining norms) can reach the k-th best score, and the survivors are compacted before the next
+group. Groups are ordered by falling mass, so bounds tighten early. In sums that a floating-point
+number holds exactly, a tile of queries meets a tile of candidates at a time: the bound is the
+tile's, a candidate stays if it can reach any of its queries, and groups whose bounds drop little
+are tried rarely.
 
 Blocks of queries meet blocks of candidates on the pair of their numbers, so every meeting can be a
 task of its own; each gives at most k rows for each query, and a ranking over those gives the
-result. Neither side is broadcast. Sums are doubles where every partial sum of a meeting stays below
-2^53, else 64-bit integers, else integers without a bound: scores are exact and ranked exactly. A
+result. Neither side is broadcast; blocks hold the floored values, in two bytes each where they fit.
+Sums are floats or doubles where every partial sum of a meeting stays below 2^24 or 2^53 (no partial
+sum exceeds the product of the norms), else 64-bit integers, else integers without a bound: scores
+are exact and ranked exactly. A
 score outside the range of long is shown as the nearest long.
 
 Defined cases: vectors that are null, or hold null or non-finite components, or whose id is null
@@ -21,6 +26,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,8 +39,12 @@ from loomtext.session import ship_package
 GROUP = 16
 
 
-#: Queries searched at a time within a meeting.
-TILE = 64
+#: Queries searched at a time within a meeting, and candidates.
+TILE, WIDTH = 256, 4096
+#: A group's bound is tried again after so many tiles, and at once where it dropped this share.
+AGAIN, PAYS = 32, 0.25
+#: Rows and bytes of a block at most; a block of candidates has fewer rows where there would be fewer than MEETINGS blocks, down to LEAST_ROWS.
+BLOCK_ROWS, BLOCK_BYTES, MEETINGS, LEAST_ROWS = 1 << 16, 8 << 20, 64, 4096
 
 
 def whole(v: np.ndarray, scale: float) -> np.ndarray:
@@ -53,7 +64,23 @@ def doubles(m: np.ndarray) -> np.ndarray:
     return np.array(near, np.float64).reshape(m.shape)
 
 
-def packed(batches, rows: int, wide: int, numbers):
+def stored(v: np.ndarray, scale: float) -> bytes:
+    """The floored values in 2 or 4 bytes where they fit, else v itself in 8."""
+    with np.errstate(over="ignore"):
+        w = np.floor(v * scale)
+    top = np.abs(w).max(initial=0)
+    return (w.astype(np.int16) if top < 1 << 15 else w.astype(np.int32) if top < 1 << 31 else v).tobytes()
+
+
+def restored(raw, wide: int, rows: int, scale: float) -> np.ndarray:
+    """The floored values of a block, components x rows."""
+    size = len(raw) // max(1, wide * rows)
+    if size == 8 or not wide:
+        return whole(np.frombuffer(raw).reshape(wide, rows), scale)
+    return np.frombuffer(raw, np.int16 if size == 2 else np.int32).reshape(wide, rows)
+
+
+def packed(batches, rows: int, wide: int, numbers, scale: float):
     """Packs rows (id, v[, number]) into blocks (number, ids, vertical values); numbers gives the next block's where there is no third column."""
     number, ids, vs = None, [], []
 
@@ -62,7 +89,7 @@ def packed(batches, rows: int, wide: int, numbers):
         ids.clear(), vs.clear()
         parts = [(i[a : a + rows], v[a : a + rows]) for a in range(0, len(i), rows)]
         at = [number if number is not None else numbers() for _ in parts]
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x, _ in parts], pa.binary()), pa.array([np.ascontiguousarray(y.T).tobytes() for _, y in parts], pa.binary())], names=["number", "ids", "values"])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x, _ in parts], pa.binary()), pa.array([stored(np.ascontiguousarray(y.T), scale) for _, y in parts], pa.binary())], names=["number", "ids", "values"])
 
     for batch in batches:
         lists = batch.column(1)
@@ -85,6 +112,78 @@ def packed(batches, rows: int, wide: int, numbers):
         yield block()
 
 
+def search_tiles(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search_block, in the floating-point kind of q and c, which holds all sums exactly; as arrays."""
+    by_id = np.argsort(cid, kind="stable")  # a later candidate of an equal score never replaces an earlier one
+    cid = cid[by_id]
+    mass = np.array([np.dot(r.astype(np.float64), r) for r in c])
+    order = np.argsort(-mass, kind="stable")
+    ends = [*range(0, len(q), GROUP), len(q)]
+    c, q = np.ascontiguousarray(c[order][:, by_id]), np.ascontiguousarray(q[order].T)
+
+    def rests(m):
+        out = [np.zeros(m.shape[1])]
+        for a, b in reversed(list(zip(ends, ends[1:], strict=False))):
+            out.append(out[-1] + np.square(m[a:b], dtype=np.float64).sum(0))
+        return [np.sqrt(x) * (1 + 1e-6) + 1e-6 for x in reversed(out)]  # rounding can only keep more
+
+    rest_c, rest_q = rests(c), rests(q.T)
+    low = -np.inf
+    out = []
+    last_group = len(ends) - 1
+    share, turn = np.ones(last_group), 0
+    for at in range(0, len(qid), TILE):
+        tq = slice(at, min(at + TILE, len(qid)))
+        n = tq.stop - at
+        best, who = np.full((n, k), low), np.zeros((n, k), np.int64)  # descending, then by id
+        for lo in range(0, len(cid), WIDTH):
+            turn += 1
+            hi = min(lo + WIDTH, len(cid))
+            last = best[:, -1]
+            tried = {g for g in range(1, last_group) if share[g] >= PAYS or turn % AGAIN == 0} if np.isfinite(last).all() else set()
+            alive, sums, g = None, None, 0
+            while g < last_group:
+                h = min((x for x in tried if x > g), default=last_group)
+                more = c[ends[g] : ends[h], lo:hi]
+                x = q[tq, ends[g] : ends[h]] @ (more if alive is None else more[:, alive])
+                sums, g = x if sums is None else sums + x, h
+                if g < last_group:
+                    spare = rest_c[g][lo:hi] if alive is None else rest_c[g][lo + alive]
+                    stay = np.flatnonzero((sums + rest_q[g][tq][:, None] * spare > last[:, None]).any(0))
+                    share[g] = 1 - len(stay) / max(1, len(spare))
+                    if len(stay) < len(spare):
+                        alive, sums = stay if alive is None else alive[stay], sums[:, stay]
+                    if not len(stay):
+                        break
+            if not sums.shape[1]:
+                continue
+            ids = cid[lo:hi] if alive is None else cid[lo + alive]
+            own = np.flatnonzero((qid[tq] >= ids[0]) & (qid[tq] <= ids[-1]))
+            for i in own:
+                sums[i, slice(*np.searchsorted(ids, (qid[at + i], qid[at + i] + 1)))] = low
+            for i in np.flatnonzero(sums.max(1) > last):
+                some = np.flatnonzero(sums[i] > last[i])
+                s = sums[i, some]
+                if len(s) > k:  # nothing under the k-th best of these alone can stay
+                    some, s = (x[s >= np.partition(s, len(s) - k)[len(s) - k]] for x in (some, s))
+                s, w = np.concatenate((best[i], s)), np.concatenate((who[i], ids[some]))
+                first = np.argsort(-s, kind="stable")[:k]
+                best[i], who[i] = s[first], w[first]
+        r, j = np.nonzero(best > low)
+        out.append((qid[at + r], who[r, j], best[r, j].astype(np.int64)))
+    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+
+
+def exact_kind(q: np.ndarray, c: np.ndarray):
+    """float32 or float64 where it holds every partial sum of products of the columns of q and c, else None."""
+    if q.dtype == object or c.dtype == object:
+        return None
+    norm = lambda m: math.sqrt(np.square(m, dtype=np.float64).sum(0).max(initial=0))
+    with np.errstate(over="ignore"):
+        most, top = norm(q) * norm(c) * (1 + 1e-6) + 1, max(float(np.abs(m.astype(np.float64)).max(initial=0)) for m in (q, c))
+    return np.float32 if max(most, top) < 1 << 24 else np.float64 if max(most, top) < 1 << 53 else None
+
+
 def search_block(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of the k best of each query; q and c are vertical (components x rows) and hold whole numbers."""
     wide = len(q)
@@ -128,8 +227,8 @@ def search_block(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray,
     return out
 
 
-def top_inner_products(table: DataFrame, k: int = 5, modulus: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 8192, candidate_rows: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by modulus.
+def top_inner_products(table: DataFrame, k: int = 5, modulus: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int | None = None, candidate_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by modulus. query_rows and candidate_rows: of a block; by default they follow the table.
 
     Components are floored after scaling; scores are sums of their products.
     """
@@ -138,16 +237,19 @@ def top_inner_products(table: DataFrame, k: int = 5, modulus: int = 50, scale: f
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & fine)
     every, n, wide = (lambda r: (r[0], r[1], r[2] or 0))(rows.agg(F.count("*"), F.count_if(F.col("id") % modulus == 0), F.max(F.size("v"))).first())
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (2 * max(1, wide))))
+    query_rows = query_rows or most
+    candidate_rows = candidate_rows or min(most, max(LEAST_ROWS, every // MEETINGS))
     q_blocks, c_blocks = max(1, -(-n // query_rows)), max(1, -(-every // candidate_rows))
     block = "number int, ids binary, values binary"
 
     def candidates(batches):
         seq = iter(range(TaskContext.get().partitionId() * 7919, 1 << 62))
-        return packed(batches, candidate_rows, wide, lambda: next(seq) % c_blocks)
+        return packed(batches, candidate_rows, wide, lambda: next(seq) % c_blocks, scale)
 
     # each query id once; a query's block comes from its hash
     asked = rows.where(F.col("id") % modulus == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("number", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
-    asked = asked.repartition("number").sortWithinPartitions("number", "id").mapInArrow(lambda it: packed(it, query_rows, wide, None), block)
+    asked = asked.repartition("number").sortWithinPartitions("number", "id").mapInArrow(lambda it: packed(it, query_rows, wide, None, scale), block)
     c = rows.mapInArrow(candidates, block).select(F.col("number").alias("c"), F.col("ids").alias("c_ids"), F.col("values").alias("c_values"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
     q = asked.select(F.col("number").alias("q"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c"))
     met = c.join(q, ["q", "c"]).select("c_ids", "c_values", "q_ids", "q_values")
@@ -157,7 +259,12 @@ def top_inner_products(table: DataFrame, k: int = 5, modulus: int = 50, scale: f
         for batch in batches:
             for r in range(batch.num_rows):
                 cid, qid = (np.frombuffer(batch.column(j)[r].as_buffer(), np.int64) for j in (0, 2))
-                cv, qv = (whole(np.frombuffer(batch.column(j)[r].as_buffer()).reshape(wide, len(i)), scale) for j, i in ((1, cid), (3, qid)))
+                cv, qv = (restored(batch.column(j)[r].as_buffer(), wide, len(i), scale) for j, i in ((1, cid), (3, qid)))
+                kind = exact_kind(qv, cv) if wide else None
+                if kind is not None:
+                    got = search_tiles(qv.astype(kind), qid, cv.astype(kind), cid, k)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in got), pa.nulls(len(got[0]), pa.string())], names=["query_id", "vec_id", "score", "wide"])
+                    continue
                 got = search_block(qv, qid, cv, cid, k)
                 cols = [[x[0] for x in got], [x[1] for x in got], [min(max(x[2], low), high) for x in got], [f"{x[2] + (1 << 2200):0700x}" if not low < x[2] < high else None for x in got]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.string())], names=["query_id", "vec_id", "score", "wide"])

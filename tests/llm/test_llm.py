@@ -3,6 +3,7 @@ import glob
 import gzip
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -342,6 +343,28 @@ def test_a_block_chained_by_passages_is_split(spark):
     assert large.isEmpty() and found[7] == found[500] and len(found) < 60
 
 
+def test_tiles_of_a_meeting_are_exact_and_fast():
+    """4,000 queries against 40,000 candidates with many equal scores and repeated vectors, in floats and in doubles."""
+    rng = np.random.default_rng(21)
+    c = np.floor(rng.normal(size=(40, 40_000)) * 40)
+    c[:, 3000:9000] = c[:, 3000:3001]
+    cid = rng.permutation(40_000)
+    for factor, kind in ((1, np.float32), (1 << 12, np.float64)):
+        at = np.flatnonzero(cid % 10 == 0)
+        q = c[:, at] * factor
+        assert topk.exact_kind(q, c) is kind
+        began = time.process_time()
+        qid, who, score = topk.search_tiles(q.astype(kind), cid[at], c.astype(kind), cid, 5)
+        assert time.process_time() - began < 12 and len(qid) == 20_000
+        got = {}
+        for i, j, s in zip(qid.tolist(), who.tolist(), score.tolist(), strict=True):
+            got.setdefault(i, []).append((-s, j))
+        for i in [0, int(cid[5000] // 10 * 10), *range(10, 40_000, 1370)]:
+            s = -(c[:, cid == i][:, 0] * factor) @ c
+            s[cid == i] = np.inf
+            assert sorted(got[i]) == [(int(s[x]), int(cid[x])) for x in np.lexsort((cid, s))[:5]]
+
+
 def test_exact_scores_beyond_doubles(spark):
     rng = np.random.default_rng(3)
     v = [[float(x) for x in r] for r in rng.normal(size=(110, 64)) * 5e5]
