@@ -406,6 +406,31 @@ def test_quality_tells_junk_from_prose(spark):
     assert np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in got]) > 0.95
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Over 2,000 rows of a label: weights and cut equal those of a plain fit on all pairs of all of them."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(rng.choice(WORDS, rng.integers(3, 20))) + ("!" * int(rng.integers(0, 5)) if rng.random() < (0.3 if i % 4 else 0.6) else "")) for i in range(3600)]
+    y = {i: int(i % 4 > 0) for i, _ in rows}
+    table = quality.measured(docs(spark, rows))
+    got = quality.learn(table, spark.createDataFrame(list(y.items()), "doc_id long, quality int"))
+    own = [(i, t) for i, t in rows if not brute.held(i)]
+    x, label = quality.measures(pa.array([t for _, t in own])), np.array([y[i] for i, _ in own])
+    assert label.sum() > 2000
+    z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-6)
+    w = np.zeros(z.shape[1])
+    good, bad = z[label == 1], z[label == 0]
+    for _ in range(30):
+        p = 1 / (1 + np.exp((good @ w)[:, None] - bad @ w))
+        c = p * (1 - p)
+        mixed = good.T @ c @ bad
+        h = ((good * c.sum(1)[:, None]).T @ good + (bad * c.sum(0)[:, None]).T @ bad - mixed - mixed.T) / p.size
+        w += np.linalg.solve(h + 1e-2 * np.eye(len(w)), (good.T @ p.sum(1) - bad.T @ p.sum(0)) / p.size - 1e-2 * w)
+    assert np.allclose(got.mean, x.mean(0)) and np.abs(got.weights - w).max() < 0.01
+    u = np.sort(z @ got.weights)
+    k = int((label == 0).sum()) - 1
+    assert abs(got.cut - (u[k] + u[k + 1]) / 2) < 1e-9
+
+
 def test_models_of_awkward_tables(spark):
     """No rows, no labels, null and repeated ids, labels that differ, clashing names: a score for each row."""
     d = spark.createDataFrame([(None, None, "en", 1, "a"), (1, "", None, 1, "b"), (1, "same", "de", 1, "b"), (2, "same", "en", 1, "c"), (3, "ärger " * 9000, "de", 1, "d")], "doc_id long, text string, lang string, score int, y string")
