@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.session import cut
+from loomtext.session import cut, tidy
 
 # The base kinds in their order, and the two kinds that the method adds.
 KINDS = ("email", "ip", "card", "phone", "removed", "general")
@@ -113,6 +113,7 @@ def added_spans(docs: DataFrame, marked: DataFrame, prior: float, reach: int, ge
     holders = cut(marked.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct())
     entities = holders.groupBy("entity").agg(F.count("*").alias("c_e"))
     pairs = cut(pairs.join(entities, "entity"))
+    tidy(docs.sparkSession)  # the plans and shuffles of a step are garbage by the next one
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= 4)
     # counted before they meet the pairs: map-side sums leave one row for a word and task, however common the word is
     counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
@@ -122,6 +123,7 @@ def added_spans(docs: DataFrame, marked: DataFrame, prior: float, reach: int, ge
     disclosure = F.when(share < 1, F.log(beside / share) / -F.log(share)).otherwise(0.0)
     flagged = pairs.join(counts, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
     flagged = cut(flagged.select("entity", "term", "disclosure"))
+    tidy(docs.sparkSession)
     side = F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged
     # by the term first: a common entity with many terms would meet every one of its documents with every term
     held = marked.select("doc_id", "key", F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= 4).distinct()
@@ -141,6 +143,7 @@ def _analysed(docs: DataFrame, id_col: str, text_col: str, prior: float, reach:
     keyed = _keyed(docs, id_col, text_col)
     based = keyed.withColumn("spans", base_spans(F.col("text"))).withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
     based = cut(based)
+    tidy(docs.sparkSession)
     marked = based.where("text is not null").select("doc_id", "key", "text", "spans")
     return based, added_spans(keyed, marked, prior, reach, generalise_at, remove_at)
 
@@ -161,6 +164,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     a_id, a_key, a_spans, base, made = (fresh(x) for x in ("a_id", "a_key", "a_spans", "base_spans", "made_text"))
     _, added = _analysed(docs, id_col, text_col, prior, reach, generalise_at, remove_at)
     added = cut(added)
+    tidy(docs.sparkSession)
     side = added.select(F.col("doc_id").alias(a_id), F.col("key").alias(a_key), F.col("added").alias(a_spans))
     if added.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)

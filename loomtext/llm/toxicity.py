@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.labelled import held_out, known_labels, sample_texts
 from loomtext.llm.vectext import U, lowered, mix, slices, span_hashes, spans
-from loomtext.session import cut, ship_package
+from loomtext.session import cut, ship_package, tidy
 
 BITS = 20
 SLOTS = 1 << BITS
@@ -35,6 +35,8 @@ NO_WORD = np.ones(256, bool)
 NO_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 STEMS = (4, 6, 8)
+#: Bytes of text, and slots, that fitting works on at a time.
+FIT_BYTES = 1 << 16
 
 
 def gram_slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +97,18 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = 4) -> SparseMod
     if not rows or ones in (0, len(rows)):
         share = min(max(share, 1e-9), 1 - 1e-9)
         return SparseModel(empty, np.zeros(0, np.float32), math.log(share / (1 - share)))
+    # the driver holds this: short slices, and the slots in 32 bits, as views of one array for a slice
     held: list[np.ndarray] = []
-    for first, to, data, offs in slices(pa.array([t for t, _ in rows], pa.string())):
+    for first, to, data, offs in slices(pa.array([t for t, _ in rows], pa.string()), FIT_BYTES):
         slot, row = gram_slots(data, offs)
         code = np.unique(row * SLOTS + slot)
         cuts = np.searchsorted(code // SLOTS, np.arange(to - first + 1))
-        held += [np.append(code[a:b] % SLOTS, SLOTS) for a, b in zip(cuts, cuts[1:], strict=False)]
+        held += np.split((code % SLOTS).astype(np.int32), cuts[1:-1])
     model, order = Ftrl(), np.random.default_rng(5)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            model.learn(held[i], float(rows[i][1]))
-    w = model.weights(np.arange(SLOTS + 1))
+            model.learn(np.append(held[i], SLOTS), float(rows[i][1]))
+    w = np.concatenate([model.weights(np.arange(a, min(a + FIT_BYTES, SLOTS + 1))) for a in range(0, SLOTS + 1, FIT_BYTES)])
     used = np.flatnonzero(w[:SLOTS])
     odds = lambda p: math.log(p / (1 - p))
     return SparseModel(used, w[used].astype(np.float32), float(w[SLOTS]) + odds(share) - odds(ones / len(rows)))
@@ -115,7 +118,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """Fits on at most per_class labelled ids of each value that are not held out."""
     known = cut(known_labels(labels, label, id_col, "int").where(F.col("y").isin(0, 1)))
     share = known.agg(F.avg("y")).first()[0]
-    return fit(sample_texts(docs, known, per_class, id_col=id_col, text_col=text_col), share or 0.0)
+    model = fit(sample_texts(docs, known, per_class, id_col=id_col, text_col=text_col), share or 0.0)
+    tidy(docs.sparkSession)  # the texts and their slots were the most that the driver holds
+    return model
 
 
 def score(docs: DataFrame, model: SparseModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

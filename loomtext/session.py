@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -60,9 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle and checkpoint files of steps that nothing refers to any more: its cleaner acts when the JVM collects garbage, which a driver with little to do puts off."""
+def give_back() -> None:
+    """Return this process's freed memory to the system: many small arrays, once freed, otherwise stay with the C library."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # only glibc has it
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of steps that nothing refers to any more: its cleaner acts when the JVM collects garbage, which a driver with little to do puts off. Both processes of the driver give memory back."""
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
