@@ -36,6 +36,20 @@ class CorpusTables:
         d, (p,) = corpus.delete_cascade(self.documents, [self.passages], gone, ["workspace_id", "document_id"])
         return CorpusTables(d, p)
 
+    def _placed(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The rows of the batch that count, who owns each text, and the rows without their texts beside the owner."""
+        keyed = batch.where("text is not null and workspace_id is not null").withColumn("content_sha256", F.sha2("text", 256))
+        own = ["workspace_id", "content_sha256"]
+        stored = self.documents.groupBy(*own).agg(F.min("document_id").alias("old_id"))
+        first = keyed.groupBy(*own).agg(F.min("document_id").alias("first_id"))
+        owner = first.join(stored, own, "left").select(*own, F.coalesce("old_id", "first_id").alias("stored_id"), F.col("old_id").isNull().alias("is_new"))
+        placed = keyed.drop("text").join(owner, own)
+        return keyed, owner, placed
+
+    def stored_ids(self, batch: DataFrame) -> DataFrame:
+        """workspace_id, document_id, stored_id of the rows that ``ingest`` tells of, without cutting a passage."""
+        return self._placed(batch)[2].select("workspace_id", "document_id", "stored_id")
+
     def ingest(self, batch: DataFrame, max_tokens: int = 120, overlap: int = 24) -> tuple[CorpusTables, DataFrame]:
         """New tables and, for each row (workspace_id, document_id, filename, text) of the batch, document_id, stored_id, duplicate, passages.
 
@@ -43,12 +57,7 @@ class CorpusTables:
         has, is a duplicate of it and adds nothing: only new texts are chunked. Rows without a text or
         a workspace are left out.
         """
-        keyed = batch.where("text is not null and workspace_id is not null").withColumn("content_sha256", F.sha2("text", 256))
-        own = ["workspace_id", "content_sha256"]
-        stored = self.documents.groupBy(*own).agg(F.min("document_id").alias("old_id"))
-        first = keyed.groupBy(*own).agg(F.min("document_id").alias("first_id"))
-        owner = first.join(stored, own, "left").select(*own, F.coalesce("old_id", "first_id").alias("stored_id"), F.col("old_id").isNull().alias("is_new"))
-        placed = keyed.drop("text").join(owner, own)
+        keyed, owner, placed = self._placed(batch)
         new = keyed.join(owner.where("is_new").select("workspace_id", "content_sha256", F.col("stored_id").alias("document_id")), ["workspace_id", "content_sha256", "document_id"], "left_semi").dropDuplicates(["workspace_id", "document_id"])
         passages = segments.passages(new, ["workspace_id", "document_id"], "text", max_tokens, overlap).withColumn("passage_id", segments.passage_id("document_id"))
         rows = new.select("workspace_id", "document_id", "content_sha256", "filename", F.length("text").cast("long").alias("character_count"), F.lit("ready").alias("status"))
@@ -93,8 +102,9 @@ def run_jobs(tables: CorpusTables, uploads: DataFrame, max_tokens: int = 120, ov
     """New tables and the log of the jobs of uploads (workspace_id, job_id, filename, content): queued, processing, then ready or failed."""
     found = files.extract(uploads)
     fine = found.where("error is null").select("workspace_id", F.col("job_id").alias("document_id"), "filename", "text")
-    new, told = tables.ingest(fine, max_tokens, overlap)
-    ended = found.join(told.select("workspace_id", F.col("document_id").alias("job_id"), "stored_id"), ["workspace_id", "job_id"], "left")
+    new = tables.ingest(fine, max_tokens, overlap)[0]
+    told = tables.stored_ids(fine)  # the log needs no passages
+    ended = found.drop("text").join(told.select("workspace_id", F.col("document_id").alias("job_id"), "stored_id"), ["workspace_id", "job_id"], "left")
     none = F.lit(None).cast("string")
     step = lambda n, status, document, error: F.struct(F.lit(n).alias("step"), status.alias("status"), document.alias("document_id"), error.alias("error_code"))
     failed = F.col("error").isNotNull()

@@ -62,9 +62,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Return this process's freed memory to the system: many small arrays, once freed, otherwise stay with the C library."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -316,3 +316,13 @@ def test_approximate_neighbours_equal_the_pairs_that_share_a_bucket_and_join_not
             best.setdefault(x, set()).add((-round((1 - d * d / 2) * 1e6) / 1e6, y))
     expected = {(x, y, -s, i) for x, found in best.items() for i, (s, y) in enumerate(sorted(found)[:4], 1)}
     assert 0 < len(expected) and {tuple(r) for r in got.collect()} == expected
+
+
+def test_job_log_is_made_without_cutting_passages(spark):
+    rows = spark.createDataFrame([("w", 1, "a.txt", b"some words here"), ("w", 2, "b.txt", b"some words here"), ("w", 3, "c.bin", b"x"), ("v", 4, "d.txt", None)], "workspace_id string, job_id long, filename string, content binary")
+    none = ingest.CorpusTables(spark.createDataFrame([], "workspace_id string, document_id long, content_sha256 string, filename string, character_count long, status string"), spark.createDataFrame([], "workspace_id string, document_id long, passage_id string, start long, end long"))
+    tables, log = ingest.run_jobs(none, rows)
+    plan = log._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan
+    assert {(r.job_id, r.status, r.document_id, r.error_code) for r in ingest.JobLog(log).state().collect()} == {(1, "ready", "1", None), (2, "ready", "1", None), (3, "failed", None, "document_extraction_failed"), (4, "failed", None, "document_extraction_failed")}
+    assert tables.passages.count() == 1
