@@ -5,20 +5,26 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.session import ship_package
+
 # Terms of retrieval, run sizes, and the number that a digest gives.
 TERM = re.compile(r"[^\W_]+")
 GRAM_SIZES = (3, 4, 5)
 DIGESTS: dict[str, Callable[[bytes], int]] = {
     "blake2b": lambda raw: int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big"),
-    "md5": lambda raw: int(hashlib.md5(raw).hexdigest()[:8], 16),
+    "md5": lambda raw: int.from_bytes(hashlib.md5(raw).digest()[:4], "big"),
 }
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Characters counted at a time, and the size of the table of known runs (16 MB in a process).
+WINDOW, MEMO_BITS = 1 << 16, 20
 
 
 def terms(text: str) -> list[str]:
@@ -34,10 +40,34 @@ class Embedder(Protocol):
         """One row for each text; of any length, cosines divide by the norms."""
 
 
+class _Memo:
+    """Buckets of the runs that a process met last, in a table of fixed size: each distinct run is hashed when it isn't there."""
+
+    def __init__(self, dims: int, digest: str) -> None:
+        self.dims, self.number = dims, DIGESTS[digest]
+        self.keys, self.values = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS, np.int64)
+
+    def buckets(self, key: np.ndarray, places: np.ndarray, line: str, size: int) -> np.ndarray:
+        slot = (key * MIX >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        out = self.values[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            keys, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            made = np.array([self.number(line[i : i + size].encode()) % self.dims for i in places[new[first]].tolist()], np.int64)
+            out[new] = made[which]
+            at, one = np.unique(slot[new[first]], return_index=True)
+            self.keys[at], self.values[at] = keys[one], made[one]
+        return out
+
+
+_memo = lru_cache(4)(_Memo)
+
+
 class HashingEmbedder:
     """Counts of a text's character runs of three to five, over its terms joined by blanks, in hashed buckets.
 
-    A batch is one array of code points; every distinct run of the batch is hashed once.
+    A batch is one array of code points, counted a window at a time; a process hashes a run again
+    only when others have taken its place in a table of fixed size.
     """
 
     def __init__(self, dims: int = 256, digest: str = "blake2b") -> None:
@@ -47,24 +77,28 @@ class HashingEmbedder:
         self.name = f"hashing-ngram-{dims}" + ("" if digest == "blake2b" else f"-{digest}")
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        number = DIGESTS[self.digest]
+        memo = _memo(self.dims, self.digest)
         flat = [" ".join(terms(t)) for t in texts]
         line = "".join(flat)
-        points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        row = np.repeat(np.arange(len(flat)), [len(t) for t in flat])
-        out = np.zeros(len(flat) * self.dims)
-        for size in GRAM_SIZES:
-            last = len(points) - size + 1
-            if last <= 0:
-                continue
-            key = np.zeros(last, np.uint64)
-            for k in range(size):
-                key = (key ^ key >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + points[k : k + last]
-            inside = np.flatnonzero(row[:last] == row[size - 1 :])
-            _, first, which = np.unique(key[inside], return_index=True, return_inverse=True)
-            buckets = np.array([number(line[i : i + size].encode()) % self.dims for i in inside[first]], np.int64)
-            out += np.bincount(row[inside] * self.dims + buckets[which], minlength=len(out))
-        return out.reshape(len(flat), self.dims)
+        points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in flat])
+        out = np.zeros((len(flat), self.dims))
+        for at in range(0, len(points), WINDOW):
+            part = points[at : at + WINDOW + GRAM_SIZES[-1] - 1].astype(np.uint64)
+            row = np.searchsorted(ends, np.arange(at, at + len(part)), "right")
+            for size in GRAM_SIZES:
+                last = min(WINDOW, len(part) - size + 1)
+                if last <= 0:
+                    continue
+                key = np.full(last, size, np.uint64)
+                for k in range(size):
+                    key = (key ^ key >> np.uint64(31)) * MIX + part[k : k + last]
+                inside = np.flatnonzero(row[:last] == row[size - 1 : size - 1 + last])
+                if len(inside):
+                    own = row[inside]
+                    cells = (own - own[0]) * self.dims + memo.buckets(key[inside], at + inside, line, size)
+                    out[own[0] : own[-1] + 1] += np.bincount(cells, minlength=(own[-1] - own[0] + 1) * self.dims).reshape(-1, self.dims)
+        return out
 
     def encode(self, texts: list[str]) -> np.ndarray:
         """Unit vectors; a text without a run keeps the zero vector."""
@@ -114,15 +148,27 @@ class TransformerReranker:
 def encoder(embedder, batch: int = 256) -> Callable[[Column], Column]:
     """A column function that embeds texts; null gives null. The embedder must return as many vectors as texts."""
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        values, offsets, end = [], [], 0
         for at in range(0, len(texts), batch):
-            some = texts.iloc[at : at + batch]
+            some = texts.slice(at, batch).to_pylist()
             made = np.asarray(embedder.encode([t or "" for t in some]), float)
             if len(made) != len(some):
                 raise ValueError(f"{embedder.name} gave {len(made)} vectors for {len(some)} texts")
-            out += [v if t is not None else None for t, v in zip(some, made, strict=True)]
-        return pd.Series(out, dtype=object)
-
-    return run
+            there = np.array([t is not None for t in some], bool)
+            values.append(made[there].ravel())
+            for t in there.tolist():
+                offsets.append(end if t else None)
+                end += made.shape[1] if t else 0
+        out = pa.ListArray.from_arrays(pa.array([*offsets, end], pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0)))
+        pa.default_memory_pool().release_unused()
+        return out
+
+    def column(texts: Column) -> Column:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            ship_package(spark)  # bounds the bytes of a batch too
+        return run(texts)
+
+    return column

@@ -11,7 +11,7 @@ from loomtext.functions import features
 from loomtext.functions.text import content_key, fold, rounded, terms, words
 from loomtext.operators import adversarial, benchmark, corpus, embedding, evaluation, ingest, legacy, pairwise, retrieval, segments, validation
 from loomtext.plans.oracles import ORACLES
-from loomtext.session import cut
+from loomtext.session import cut, spread
 from loomtext.sources import files
 
 
@@ -138,12 +138,12 @@ def rerank_blend(spark, sf):
 
 
 def hash_embed_md5(spark, sf):
-    v = _docs(spark, sf).select("doc_id", embedding.encoder(embedding.HashingEmbedder(256, "md5"))(F.col("text")).alias("v"))
+    v = spread(_docs(spark, sf)).select("doc_id", embedding.encoder(embedding.HashingEmbedder(256, "md5"))(F.col("text")).alias("v"))
     return v.select("doc_id", F.posexplode("v").alias("bucket", "w")).where("w > 0").select("doc_id", "bucket", rounded(F.col("w")).alias("weight"))
 
 
 def hash_embed_blake2b(spark, sf):
-    return _docs(spark, sf).select("doc_id", embedding.encoder(embedding.HashingEmbedder())(F.col("text")).alias("embedding"))
+    return spread(_docs(spark, sf)).select("doc_id", embedding.encoder(embedding.HashingEmbedder())(F.col("text")).alias("embedding"))
 
 
 def _scored(spark, sf):

@@ -326,3 +326,30 @@ def test_job_log_is_made_without_cutting_passages(spark):
     assert "MapInArrow" not in plan and "MapInPandas" not in plan
     assert {(r.job_id, r.status, r.document_id, r.error_code) for r in ingest.JobLog(log).state().collect()} == {(1, "ready", "1", None), (2, "ready", "1", None), (3, "failed", None, "document_extraction_failed"), (4, "failed", None, "document_extraction_failed")}
     assert tables.passages.count() == 1
+
+
+def test_embedding_holds_little_memory_and_hashes_a_run_once(spark, monkeypatch):
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdeß") for _ in range(rng.randint(1, 9))) for _ in range(120_000))
+    one = embedding.HashingEmbedder(64, "md5")
+    tracemalloc.start()
+    got = one.vectors([text, "", "ab", text[:50]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    flat = " ".join(embedding.terms(text))
+    runs = Counter(flat[i : i + n] for n in (3, 4, 5) for i in range(len(flat) - n + 1))
+    expected = np.zeros(64)
+    for r, n in runs.items():
+        expected[int(hashlib.md5(r.encode()).hexdigest()[:8], 16) % 64] += n
+    assert (got[0] == expected).all() and not got[1].any() and not got[2].any() and (got[3] == one.vectors([text[:50]])[0]).all()
+    with monkeypatch.context() as m:
+        m.setattr(embedding._memo(64, "md5"), "number", lambda raw: 1 / 0)
+        assert (one.vectors([text[:50]])[0] == got[3]).all()
+    found = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "i long, t string").select("i", embedding.encoder(one)(F.col("t")).alias("v")).orderBy("i").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    assert found[0].v == one.encode(["some words"])[0].tolist() and found[1].v is None and found[2].v == [0.0] * 64
