@@ -36,8 +36,10 @@ from loomtext.session import cut, ship_package, spread
 
 #: Queries of one block: they and their terms are broadcast together.
 QUERY_BLOCK = 256
-#: Passages scored at a time.
-TILE = 1024
+#: Passages scored at a time, pairs of a term and a query expanded at a time, and pairs of a query and a passage held before all but the best of each query go.
+TILE, EXPANDED, HELD = 1024, 1 << 18, 1 << 18
+#: Terms of so many queries of a block count by a product of matrices.
+SHARED_BY = 8
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -48,7 +50,7 @@ def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def term_hash(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -126,10 +128,27 @@ class QueryBlock:
         tf = batch.column("counts").flatten().to_numpy(zero_copy_only=False)[place].astype(float)
         size = batch.column("len").to_numpy(zero_copy_only=False)[row]
         part = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size / self.mean))
-        many = (self.starts[1:] - self.starts[:-1])[term]
-        each = np.repeat(np.arange(len(term)), many)
-        q = self.holders[np.repeat(self.starts[term] - (np.cumsum(many) - many), many) + np.arange(len(each))]
-        sums = np.bincount(row[each] * len(self.ids) + q, weights=part[each], minlength=batch.num_rows * len(self.ids))
+        many = np.diff(self.starts)
+        shared = np.flatnonzero(many >= SHARED_BY)
+        number = np.full(len(many), -1)
+        number[shared] = np.arange(len(shared))
+        holds = np.zeros((len(shared), len(self.ids)))
+        for t in shared.tolist():
+            holds[number[t], self.holders[self.starts[t] : self.starts[t + 1]]] = 1
+        weights = np.zeros((batch.num_rows, len(shared)))
+        common = number[term] >= 0
+        weights[row[common], number[term[common]]] = part[common]
+        sums = (weights @ holds).ravel()
+        row, term, part = row[~common], term[~common], part[~common]
+        ends = np.cumsum(many[term])
+        at = 0
+        while at < len(term):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, "right")))
+            n = many[term[at:to]]
+            each = np.repeat(np.arange(at, to), n)
+            q = self.holders[np.repeat(self.starts[term[at:to]] - (np.cumsum(n) - n), n) + np.arange(len(each))]
+            sums += np.bincount(row[each] * len(self.ids) + q, weights=part[each], minlength=len(sums))
+            at = to
         return np.rint(sums * 1e6).astype(np.int64).reshape(batch.num_rows, len(self.ids))
 
     def dense(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -186,30 +205,42 @@ def _heads(index: DataFrame, block: QueryBlock, m: int) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        held: list[list] = [[] for _ in own.ids]  # for each query arrays (passages, scores...) of its best so far
+        n = len(own.ids)
+        floor, last = np.full((2, n), np.iinfo(np.int64).min), np.full((2, n), np.iinfo(np.int64).max)  # what a new pair must reach in a channel
+        held: list[list] = []  # arrays (place of the query, passage, scores...)
+        count = 0
 
-        def trim(q):
-            cols = [np.concatenate(x) for x in zip(*held[q], strict=True)]
+        def trim():
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             keep = np.zeros(len(cols[0]), bool)
-            for score in cols[1:]:
-                keep[np.lexsort((cols[0], -score))[:m]] = True
-            held[q] = [[c[keep] for c in cols]]
+            for c, score in enumerate(cols[2:]):
+                order = np.lexsort((cols[1], -score, cols[0]))
+                q = cols[0][order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                keep[order[rank < m]] = True
+                at = order[rank == m - 1]
+                floor[c, cols[0][at]], last[c, cols[0][at]] = score[at], cols[1][at]
+            held[:] = [[c[keep] for c in cols]]
+            return int(keep.sum())
 
         for batch in batches:
             for ids, scores in own.channels(batch):
-                for q in range(len(own.ids)):
-                    keep = np.zeros(len(ids), bool)
-                    for s in scores:
-                        keep[np.lexsort((ids, -s[:, q]))[:m] if len(ids) > m else slice(None)] = True
-                    held[q].append([ids[keep], *(s[keep, q] for s in scores)])
-                    if sum(len(x[0]) for x in held[q]) > 6 * m:
-                        trim(q)
-        for q, parts in enumerate(held):
-            if parts:
-                trim(q)
-                cols = held[q][0]
-                n = len(cols[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own.ids[q])), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]) if len(cols) > 2 else pa.nulls(n, pa.int64())], names=["query", "passage", "lexical", "dense"])
+                some = np.zeros((len(ids), n), bool)
+                for c, s in enumerate(scores):
+                    some |= (s > floor[c]) | (s == floor[c]) & (ids[:, None] <= last[c])
+                row, q = np.nonzero(some)
+                held.append([q, ids[row], *(s[row, q] for s in scores)])
+                count += len(q)
+                if count > max(HELD, 4 * m * n):
+                    count = trim()
+        if held:
+            trim()
+            q, passage, *scores = held[0]
+            names = np.array(own.ids, np.int64)
+            for at in range(0, len(q), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                dense = pa.array(scores[1][part]) if len(scores) > 1 else pa.nulls(len(q[part]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[part]]), pa.array(passage[part]), pa.array(scores[0][part]), dense], names=["query", "passage", "lexical", "dense"])
 
     found = index.mapInArrow(run, "query long, passage long, lexical long, dense long")
     by = lambda c: F.row_number().over(Window.partitionBy("query").orderBy(F.desc(c), "passage"))
@@ -245,10 +276,10 @@ def _exact_ranks(index: DataFrame, block: QueryBlock, heads: DataFrame) -> DataF
     number = {q: i for i, q in enumerate(block.ids)}
     for r in heads.select("query", "passage", "lexical", "dense").collect():  # at most 2 m rows of each query of a block
         rows[number[r[0]]].append(r[1:])
-    order = []  # for each query and channel: passages and scores in the order of the ranking
+    order = []  # for each query and channel: passages and negated scores in the order of the ranking
     for found in rows:
         cols = np.array(found, np.int64).reshape(-1, 3)
-        order.append([(lambda o, c=c: (cols[o, 0], cols[o, c]))(np.lexsort((cols[:, 0], -cols[:, c]))) for c in (1, 2)])
+        order.append([(lambda o, c=c: (cols[o, 0], -cols[o, c]))(np.lexsort((cols[:, 0], -cols[:, c]))) for c in (1, 2)])
     shared = spark.sparkContext.broadcast((block, order))
 
     def run(batches):
@@ -256,12 +287,18 @@ def _exact_ranks(index: DataFrame, block: QueryBlock, heads: DataFrame) -> DataF
         before = [[np.zeros(len(ids) + 1, np.int64) for ids, _ in channels] for channels in sought]
         for batch in batches:
             for ids, scores in own.channels(batch):
+                falling = [-x.T for x in scores]
                 for q, channels in enumerate(sought):
                     for c, (cand, value) in enumerate(channels):
-                        s = scores[c][:, q]
-                        lo, hi = np.searchsorted(-value, -s, "left"), np.searchsorted(-value, -s, "right")
-                        for tied in np.flatnonzero(hi > lo):
-                            lo[tied] += np.searchsorted(cand[lo[tied] : hi[tied]], ids[tied], "right")
+                        if not len(cand):
+                            continue
+                        s = np.ascontiguousarray(falling[c][q])
+                        lo = np.searchsorted(value, s, "left")
+                        tied = np.flatnonzero(value[np.minimum(lo, len(cand) - 1)] == s)
+                        places = lo[tied]
+                        for at in np.unique(places).tolist():  # equal scores stand in the order of their passages
+                            here = tied[places == at]
+                            lo[here] += np.searchsorted(cand[at : np.searchsorted(value, value[at], "right")], ids[here], "right")
                         before[q][c] += np.bincount(lo, minlength=len(cand) + 1)  # it stands before all candidates from lo on
         for q, channels in enumerate(sought):
             for c, (cand, _) in enumerate(channels):

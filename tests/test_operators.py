@@ -353,3 +353,32 @@ def test_embedding_holds_little_memory_and_hashes_a_run_once(spark, monkeypatch)
     found = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "i long, t string").select("i", embedding.encoder(one)(F.col("t")).alias("v")).orderBy("i").collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
     assert found[0].v == one.encode(["some words"])[0].tolist() and found[1].v is None and found[2].v == [0.0] * 64
+
+
+def test_shared_terms_of_a_block_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(120)]
+    texts = [" ".join(vocabulary[:100]) + f" w{100 + i % 20}" for i in range(64)]
+    block = retrieval.QueryBlock.of(list(range(64)), texts, None)
+    block.idf, block.mean = rng.random(len(block.keys)), 90.0
+    docs = [sorted(retrieval.term_hash(w) for w in vocabulary if rng.random() < 0.9) for _ in range(512)]
+    counts = [rng.integers(1, 9, len(d)).astype(np.int32) for d in docs]
+    batch = pa.RecordBatch.from_arrays([pa.array([len(d) for d in docs], pa.int32()), pa.array(docs, pa.list_(pa.int64())), pa.array([c.tolist() for c in counts], pa.list_(pa.int32()))], names=["len", "terms", "counts"])
+    tracemalloc.start()
+    got = block.lexical(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    monkeypatch.setattr(retrieval, "EXPANDED", 50, raising=False)
+    for shared in (1, 1000):
+        monkeypatch.setattr(retrieval, "SHARED_BY", shared, raising=False)
+        assert (block.lexical(batch) == got).all()
+    idf = dict(zip(block.keys.tolist(), block.idf.tolist(), strict=True))
+    for d in (0, 300):
+        for q in (0, 63):
+            own = {retrieval.term_hash(w) for w in texts[q].split()}
+            assert abs(sum(idf[t] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(docs[d]) / 90.0)) for t, n in zip(docs[d], counts[d].tolist(), strict=True) if t in own) * 1e6 - got[d, q]) < 0.51
