@@ -382,3 +382,17 @@ def test_shared_terms_of_a_block_take_bounded_memory(monkeypatch):
         for q in (0, 63):
             own = {retrieval.term_hash(w) for w in texts[q].split()}
             assert abs(sum(idf[t] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(docs[d]) / 90.0)) for t, n in zip(docs[d], counts[d].tolist(), strict=True) if t in own) * 1e6 - got[d, q]) < 0.51
+
+
+def test_character_runs_equal_a_plain_count_and_sort_plain_numbers(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", "a", "ab  c", "x" * 500, " ".join(rng.choice(["Ähre", "der", "die", "es"]) for _ in range(400)), "漢字" * 40 + "".join(chr(0x4E00 + i) for i in range(9000)) * 2]
+    for text in texts:
+        if text.isascii() or "Ä" in text:
+            monkeypatch.setattr(np, "unique", lambda *a, **b: 1 / 0)
+        got = features.top_character_runs(text, 5)
+        monkeypatch.undo()
+        flat = features.SIGNS.sub(" ", features.normal(text))
+        runs = Counter(flat[i : i + n] for n in (3, 4, 5) for i in range(len(flat) - n + 1))
+        best = sorted((-n, len(g), g) for g, n in runs.items())[:5]
+        assert got == (len(runs), sum(n * n for n in runs.values()), [(g, -n) for n, _, g in best])
